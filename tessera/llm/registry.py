@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, language_id, license_scan, mixing, quality_rules
+from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -28,10 +28,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_first=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -43,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_bpe, op3_quality_rules, op7_mixing, op9_exact_dedup, op10_license_scan)
+        for f in (op1_language_id, op2_bpe, op3_quality_rules, op4_suffix_dedup, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_license_scan)
     }
 
 
