@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, suffix_dedup
+from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality_rules, secret_scan, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -32,6 +32,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_first=False)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
@@ -51,7 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_bpe, op3_quality_rules, op4_suffix_dedup, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_license_scan)
+        for f in (op1_language_id, op2_bpe, op3_quality_rules, op4_suffix_dedup, op5_secret_scan, op6_lm_scoring, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_license_scan)
     }
 
 
