@@ -2,8 +2,8 @@
 
 Texts are lower-cased, runs of anything but letters become one space, and n-grams of 1 to 3 characters
 are hashed to `features` columns. Document frequencies are counted over all rows that may be learnt from;
-the classifier is fitted on a bounded, documented sample of them (`per_class` rows of each language, by a
-hash of the identifier) with follow-the-regularised-leader: per-coordinate rates, an L1 part that keeps
+the classifier is fitted on a bounded, documented sample of them (about `per_class` rows of each language,
+those of the lowest hashes of the identifier, twice that in all at most) with follow-the-regularised-leader: per-coordinate rates, an L1 part that keeps
 weights at zero, and an L2 part. A temperature, fitted on a part of the sample that training did not see,
 calibrates the probabilities.
 
@@ -22,7 +22,6 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessera.llm.common import id_crc, ship, small_batches, staged, text_or_empty
 
@@ -107,13 +106,11 @@ def train(docs: DataFrame, learn: Column, features: int = FEATURES, per_class: i
     small_batches(spark)
     usable = docs.filter(learn & F.col("lang").isNotNull())
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample"))
-    order = W.partitionBy("lang").orderBy("key", "doc_id")  # limited by partition before the shuffle
-    sample = usable.select("doc_id", "lang", key.alias("key")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class)
-    cut = staged(sample.select(F.col("doc_id").alias("s_id"), "key"), "sample").agg(F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
-    chosen = staged(sample.select("lang", "key").groupBy("lang").agg(F.max("key").alias("most")), "cut").collect()  # one row a language
-    if cut.first()["n"] == 0:
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not sizes:
         return {"languages": []}
-    limits = {r["lang"]: r["most"] for r in chosen}
+    # a language's rows of the lowest hashes: about per_class of them, without ranking the rows
+    limits = {lang: -(1 << 63) + int((1 << 64) * min(1.0, per_class / n)) - 1 for lang, n in sizes.items()}
     languages = sorted(limits)
     rows = usable.select(text_or_empty().alias("text"), "lang", key.alias("key"))
 
