@@ -27,7 +27,13 @@ from pyspark.sql.window import Window as W
 
 from tessera.llm.common import WS_CLASS, input_bytes, scratch, staged, text_or_empty
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the on-disk state while the stream runs: changes are checkpointed rather than whole stores, and
+#: stores take no disk in advance, as there can be many small ones.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 NEVER = (1 << 63) - 1
 
 
@@ -39,8 +45,9 @@ def keyed_state(digests: DataFrame, files_per_trigger: int = 100_000) -> DataFra
     """digest, keep, copies: the state after a stream over the staged table `digests` (digest, row_key)."""
     spark = digests.sparkSession
     root = f"{scratch(spark)}/tessera/stream-{uuid.uuid4().hex}"
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    old = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(digests._tessera_path)
         state = stream.groupBy("digest").agg(F.min("row_key").alias("keep"), F.count(F.lit(1)).alias("copies"))
@@ -50,7 +57,8 @@ def keyed_state(digests: DataFrame, files_per_trigger: int = 100_000) -> DataFra
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     kinds = T.StructType([digests.schema["digest"], T.StructField("keep", digests.schema["row_key"].dataType), T.StructField("copies", T.LongType())])
     changed = spark.read.schema(kinds).parquet(f"{root}/out/*")
     return changed.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("copies").alias("copies"))
