@@ -61,9 +61,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
+    """Delete a staged table that nothing reads any more, and let Spark drop the shuffles behind it."""
     if path := getattr(df, "_tessera_path", None):
         _delete(df.sparkSession, path)
+        df.sparkSession._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
