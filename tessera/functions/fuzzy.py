@@ -6,8 +6,11 @@ texts empty give 1; the pair features gate empty sides themselves.
 
 from __future__ import annotations
 
+import sys
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> int:
@@ -75,7 +78,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _column(kernel):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([kernel(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -85,7 +88,11 @@ def _column(kernel):
 ratio_column, token_sort_column, token_set_column, partial_column, jaro_winkler_column = map(_column, (ratio, token_sort, token_set, partial, jaro_winkler))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_ratio_column(a: pd.Series, a2: pd.Series, b: pd.Series, b2: pd.Series) -> pd.Series:
     """The best of the four ratios of two spellings each."""
     return pd.Series([max(ratio(p, q) for p in {w, x} for q in {y, z}) for w, x, y, z in zip(a, a2, b, b2, strict=True)], dtype="float64")
+
+
+#: Executors get these functions by value; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def script_of(text: str) -> str:
@@ -18,12 +21,12 @@ def script_of(text: str) -> str:
     return max(counts, key=counts.get) if counts else "UNKNOWN"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def script_column(text: pd.Series) -> pd.Series:
     return text.map(lambda v: script_of(v or ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def families_column(text: pd.Series) -> pd.Series:
     """The distinct families of a text's letters."""
     return text.map(lambda v: sorted({unicodedata.name(c, "UNKNOWN").split()[0] for c in v or "" if c.isalpha()}))
@@ -51,3 +54,7 @@ def transliterated(col: Column, table: dict[str, str]) -> Column:
         spelled = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
         out = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), "")
     return out
+
+
+#: Executors get these functions by value; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

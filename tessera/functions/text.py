@@ -7,8 +7,10 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD, NUMBER, ASCII_WORD = r"[\p{L}\p{N}_]+", r"\p{Nd}+", "[a-z0-9]+"
 
@@ -36,7 +38,7 @@ def fold(col: Column | str) -> Column:
     return F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), bare, F.lit(True)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_python(text: pd.Series) -> pd.Series:
     """The same as fold(), for sessions without that library."""
     import unicodedata as u
@@ -76,3 +78,7 @@ def overlap(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """Jaccard, and the shares of each set that the other covers, of two arrays of distinct values."""
     hit = F.size(F.array_intersect(a, b))
     return share(hit, F.size(F.array_union(a, b))), share(hit, F.size(a)), share(hit, F.size(b))
+
+
+#: Executors get these functions by value; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
