@@ -55,23 +55,32 @@ def direct(rows: DataFrame) -> DataFrame:
     qn, tn, qa, ta = _texts()
     number = lambda c: c.cast("double")
     same = lambda a, b: number((a != "") & (a == b))
-    grams = lambda a, b: X.overlap(F.array_distinct(X.windows(a)), F.array_distinct(X.windows(b)))[0]
-    names, words = X.overlap(X.token_set(qn), X.token_set(tn)), X.overlap(X.token_set(qa), X.token_set(ta))
-    digits_q, digits_t = X.token_set(qa, X.NUMBER), X.token_set(ta, X.NUMBER)
-    digits = X.overlap(digits_q, digits_t)
+    sets = {}  # made once a row: later columns refer to them by name
+    for side, name, address in (("q", qn, qa), ("t", tn, ta)):
+        sets |= {f"_{side}_ng": F.array_distinct(X.windows(name)), f"_{side}_ag": F.array_distinct(X.windows(address)), f"_{side}_nw": X.token_set(name), f"_{side}_aw": X.token_set(address), f"_{side}_num": X.token_set(address, X.NUMBER)}
+    rows = rows.withColumns(sets)
+    hits = {f"_hit_{k}": F.size(F.array_intersect(f"_q_{k}", f"_t_{k}")) for k in ("ng", "ag", "nw", "aw", "num")}
+    rows = rows.withColumns(hits | {f"_{side}_{k}_n": F.size(f"_{side}_{k}") for side in "qt" for k in ("ng", "ag", "nw", "aw", "num")})
+
+    def overlap(k: str) -> tuple[Column, Column, Column]:
+        hit, q, t = F.col(f"_hit_{k}"), F.col(f"_q_{k}_n"), F.col(f"_t_{k}_n")
+        return X.share(hit, q + t - hit), X.share(hit, q), X.share(hit, t)
+
+    names, words, digits = overlap("nw"), overlap("aw"), overlap("num")
     first = lambda c: F.regexp_extract(c, X.NUMBER, 0)
-    return rows.withColumns({
-        "name_nonempty_exact_match": same(qn, tn), "name_char_trigram_jaccard": grams(qn, tn),
+    out = rows.withColumns({
+        "name_nonempty_exact_match": same(qn, tn), "name_char_trigram_jaccard": overlap("ng")[0],
         "name_token_jaccard": names[0], "name_query_token_coverage": names[1], "name_target_token_coverage": names[2],
-        "address_nonempty_exact_match": same(qa, ta), "address_char_trigram_jaccard": grams(qa, ta),
+        "address_nonempty_exact_match": same(qa, ta), "address_char_trigram_jaccard": overlap("ag")[0],
         "address_token_jaccard": words[0], "address_query_token_coverage": words[1], "address_target_token_coverage": words[2],
         "numeric_token_jaccard": digits[0], "numeric_query_coverage": digits[1], "numeric_target_coverage": digits[2],
         "nonempty_first_number_equality": same(first(qa), first(ta)),
-        "query_numeric_token_count": number(F.size(digits_q)), "target_numeric_token_count": number(F.size(digits_t)),
+        "query_numeric_token_count": number(F.col("_q_num_n")), "target_numeric_token_count": number(F.col("_t_num_n")),
         "query_name_missing": number(qn == ""), "target_name_missing": number(tn == ""),
         "query_address_missing": number(qa == ""), "target_address_missing": number(ta == ""),
         "target_source_is_S2": number(F.col("target_source") == "S2"),
     })
+    return out.drop(*sets, *hits, *[f"_{side}_{k}_n" for side in "qt" for k in ("ng", "ag", "nw", "aw", "num")])
 
 
 def fuzzy_features(rows: DataFrame) -> DataFrame:
@@ -90,15 +99,16 @@ def cross_script(rows: DataFrame, entities: DataFrame) -> DataFrame:
     raw = lambda c: F.coalesce(F.col(c), F.lit(""))
     latin = lambda c: F.lower(transliterated(raw(c), table))
     qn, tn, qa, ta = (latin(c) for c in ("q_business_name", "t_business_name", "q_business_address", "t_business_address"))
-    rows = rows.withColumns({"_qs": script_column("q_business_name"), "_ts": script_column("t_business_name")})
-    best = fuzzy.best_ratio_column(F.lower(raw("q_business_name")), qn, F.lower(raw("t_business_name")), tn)
+    rows = rows.withColumns({"_qs": script_column("q_business_name"), "_ts": script_column("t_business_name"), "_qn": qn, "_tn": tn, "_qa": X.token_set(qa, X.ASCII_WORD), "_ta": X.token_set(ta, X.ASCII_WORD)})
+    rows = rows.withColumns({"_qg": F.array_distinct(X.windows(F.col("_qn"))), "_tg": F.array_distinct(X.windows(F.col("_tn")))})
+    best = fuzzy.best_ratio_column(F.lower(raw("q_business_name")), F.col("_qn"), F.lower(raw("t_business_name")), F.col("_tn"))
     known = (F.col("_qs") != "UNKNOWN") & (F.col("_ts") != "UNKNOWN")
     return rows.withColumns({
-        "f55": X.overlap(F.array_distinct(X.windows(qn)), F.array_distinct(X.windows(tn)))[0],
+        "f55": X.overlap(F.col("_qg"), F.col("_tg"))[0],
         "f56": F.when((raw("q_business_name") == "") & (raw("t_business_name") == ""), 0.0).otherwise(best),
         "f57": ((F.col("_qs") != F.col("_ts")) & known).cast("double"),
-        "f58": X.overlap(X.token_set(qa, X.ASCII_WORD), X.token_set(ta, X.ASCII_WORD))[0],
-    }).drop("_qs", "_ts")
+        "f58": X.overlap(F.col("_qa"), F.col("_ta"))[0],
+    }).drop("_qs", "_ts", "_qn", "_tn", "_qa", "_ta", "_qg", "_tg")
 
 
 def cosines(candidates: DataFrame, weights: DataFrame) -> DataFrame:
