@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -64,7 +65,13 @@ def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more, and let Spark drop the shuffles behind it."""
     if path := getattr(df, "_tessera_path", None):
         _delete(df.sparkSession, path)
-        df.sparkSession._jvm.System.gc()
+        release(df)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffles of plans that are done: it does so as the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
