@@ -94,4 +94,6 @@ def sql(final: str) -> str:
 
     add(final)
     body = ",\n".join(f"{name} as {'materialized ' if name in KEPT else ''}({CTES[name]})" for name in needed)
-    return f"with {body}\n{final}" if body else final
+    if not body:
+        return final
+    return f"with {body},\n{final.removeprefix('with ')}" if final.startswith("with ") else f"with {body}\n{final}"
