@@ -48,7 +48,7 @@ class Run:
         self.rows = terms.eligible(terms.views(self.entities))
         self.weights = terms.term_weights(self.rows, profile).persist()
         self.pairs = retrieve.products(self.weights)
-        self.hits = retrieve.lane_hits(self.pairs, profile)
+        self.hits = retrieve.lane_hits(self.pairs, profile).persist()
         self.candidates = retrieve.union_lanes(self.hits).persist()
         self.queries = self.entities.filter("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
         self.cosines = pair_features.cosines(self.candidates, self.weights).persist()
