@@ -484,7 +484,7 @@ def _perturbed(name: str, text: str) -> None:
         return research.perturbed(entities(spark, sf), name).drop("schema_version")
 
 
-_perturbed("case", "array_to_string(list_transform(string_split({0}, ''), lambda x: case when x = lower(x) then upper(x) else lower(x) end), '')")
+_perturbed("case", "array_to_string(list_transform(string_split({0}, ''), lambda x: case when x = 'ß' then 'SS' when x = lower(x) then upper(x) else lower(x) end), '')")
 _perturbed("spacing", "'  ' || replace({0}, ' ', '   ') || '  '")
 _perturbed("punctuation", "replace({0}, ' ', ' / ')")
 _perturbed("token_order", r"array_to_string(list_reverse(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')), ' ')")
