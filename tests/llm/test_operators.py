@@ -182,9 +182,11 @@ def test_links_on_the_awkward_table(table):
     assert stay.columns == table.columns and {r.doc_id for r in stay.collect()} >= {0, 1, 4}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [components.LOCAL, 5])
+def test_components(spark, local):
+    """One task's forest, and forests of five edges at a time followed by star rounds."""
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (50, 200)]
-    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "u bigint, v bigint"), local).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 50: 50, 200: 50}
 
 
