@@ -1,9 +1,10 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-A restaurant of words has a customer for each training token; its tables are customers of the restaurants
-that spell words: contexts of two, one and no bytes, each context's restaurant the child of the shorter
-one's, down to a uniform choice of symbol. A text's probability is that of its words and its end, where all
-words that are not known from training are one outcome: what the known ones leave of the model.
+Each word is the context of a restaurant that has a customer for each training token after it; its tables
+are customers of a restaurant of words, whose tables are customers of the restaurants that spell words:
+contexts of two, one and no bytes, each context's restaurant the child of the shorter one's, down to a
+uniform choice of symbol. A text's probability is that of its words and its end, each given the word before
+(the first one: given an end). Words that are not known from training are spelt.
 
 Seating is sampled by Gibbs, a block at a time: all customers of a dish are seated anew given everyone
 else. Up to SMALL customers the number of their tables is drawn from its exact conditional (generalised
@@ -11,9 +12,11 @@ Stirling numbers); beyond, customers come one after another, later ones by binom
 the other dishes are those of the sweep before, so dishes are sampled side by side on many machines.
 Predictive probabilities are averaged over the sweeps after the first ones.
 
-Documents are read once, into chunks: a chunk's distinct words, dealt by hash, and its documents as counts
-of these words. Words meet in their bucket, are counted over all training documents and sampled there, and
-their counts and probabilities go back to the chunks. A word of very many documents is one entry a chunk.
+Documents are read once, into chunks: a chunk's distinct words and pairs of words, dealt by hash of the
+word, for pairs of the first word, and its documents as numbers of these words. Words and pairs meet in
+their bucket and are counted there over all training documents. A pair of one occurrence has one table; the
+others are sampled in each sweep, for which their buckets and those of the second words exchange tables and
+probabilities, words being told apart by 64-bit digests. Results go back to the chunks.
 What the driver gathers are sums for strings of three bytes, at most 257 ** 3 whatever the corpus.
 
 Defined results: null text is empty and has its end only; texts of any length are taken whole; with nothing
@@ -24,6 +27,7 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_AZ, buckets, discard, id_crc, ship, small_batches, staged, text_or_empty
+from tessera.llm.common import LOWER_AZ, buckets, discard, id_crc, release, ship, small_batches, staged, text_or_empty
 
 END = b"\n"  # the end of a text, as a word: it stands in no other
 CHUNK = 8 << 20
@@ -162,31 +166,39 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return strings[keep], lengths
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), 1)
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def paired(tokens: np.ndarray, at: np.ndarray, end: int, words: int) -> np.ndarray:
+    """Each token with the one before it, as one number; a text's first token stands after an end."""
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    before[at] = end
+    return before * words + tokens
+
+
 def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
-    """Rows of chunks (chunk, doc_ids, held, n_tokens, at, words, times) and of strips of their words (chunk,
-    bucket, start, spelling, counts): numbers of words run on from strip to strip."""
+    """Rows of chunks: documents as numbers of the chunk's words, which stand in order of their buckets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    columns = ["chunk", "doc_ids", "learnt", "n_tokens", "at", "words", "times", "bucket", "start", "spelling", "counts"]
 
     def close(number: int, held: list, ids: dict) -> pd.DataFrame:
         words = list(ids)
-        bucket = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in words], np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(digests(words) % np.uint64(parts), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        train = np.zeros(len(words), np.int64)
-        for _, learnt, _, found, times in held:
-            if learnt:
-                train[found] += times
-        at = np.cumsum([0, *[len(h[3]) for h in held]])
-        body = (np.concatenate([place[h[3]] for h in held]).astype("<u4").tobytes(), np.concatenate([h[4] for h in held]).astype("<u4").tobytes())
-        out = [(number, [h[0] for h in held], [h[1] for h in held], [h[2] for h in held], at.tolist(), *body, -1, 0, None, None)]
-        train, ranked = train[order].astype("<u4"), bucket[order]
-        cuts = [0, *(np.flatnonzero(np.diff(ranked)) + 1).tolist(), len(order)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            out.append((number, None, None, None, None, None, None, int(ranked[a]), a, b" ".join([words[i] for i in order[a:b]]), train[a:b].tobytes()))
-        return pd.DataFrame(out, columns=columns)
+        tokens = place[np.concatenate([h[2] for h in held])]
+        out = (number, [h[0] for h in held], [h[1] for h in held], [len(h[2]) for h in held], pack(tokens.astype("<u4")), int(place[ids[END]]), b" ".join([words[i] for i in order]))
+        return pd.DataFrame([out], columns=["chunk", "doc_ids", "learnt", "n_tokens", "tokens", "last", "words"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -195,9 +207,7 @@ def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
             for doc_id, text, learnt in zip(batch["doc_id"], batch["text"], batch["learn"], strict=True):
                 words = text.encode().translate(LOWER_AZ).split()
                 words.append(END)
-                numbers = np.fromiter([ids.setdefault(w, len(ids)) for w in words], np.int64, len(words))
-                found, times = np.unique(numbers, return_counts=True)
-                held.append((doc_id, bool(learnt), len(words), found, times))
+                held.append((doc_id, bool(learnt), np.fromiter([ids.setdefault(w, len(ids)) for w in words], np.int64, len(words))))
                 size += len(text)
                 if size >= CHUNK:
                     yield close(number, held, ids)
@@ -205,24 +215,116 @@ def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
         if held:
             yield close(number, held, ids)
 
-    return rows.mapInPandas(run, f"chunk bigint, doc_ids array<{kind}>, learnt array<boolean>, n_tokens array<bigint>, at array<bigint>, words binary, times binary, bucket int, start int, spelling binary, counts binary")
+    return rows.mapInPandas(run, f"chunk bigint, doc_ids array<{kind}>, learnt array<boolean>, n_tokens array<bigint>, tokens binary, last bigint, words binary")
+
 
+def stripped(table: DataFrame, parts: int) -> DataFrame:
+    """Strips of the chunks' words (chunk, bucket, start, spelling, counts) with the words that follow each (degrees,
+    followers, pair_counts): numbers of words, and of their pairs, run on from strip to strip. They are made
+    anew for each use: disk holds the chunks only."""
 
-def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's distinct words with their training counts."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                words, sizes = row.words.split(b" "), np.asarray(row.n_tokens)
+                digest, tokens, learnt = digests(words), unpack(row.tokens, "<u4").astype(np.int64), np.repeat(np.asarray(row.learnt, bool), sizes)
+                pairs, at = np.unique(paired(tokens, np.cumsum(sizes) - sizes, int(row.last), len(words)), return_inverse=True)
+                times = np.bincount(at[learnt], minlength=len(pairs)).astype("<u4")
+                train = np.bincount(tokens[learnt], minlength=len(words)).astype("<u4")
+                followers, bucket = digest[pairs % len(words)], (digest % np.uint64(parts)).astype(np.int64)
+                degrees = np.bincount(pairs // len(words), minlength=len(words)).astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(degrees, dtype=np.int64)])
+                cuts, out = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)], []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    own = slice(ends[a], ends[b])
+                    out.append((row.chunk, int(bucket[a]), a, b" ".join(words[a:b]), pack(train[a:b]), pack(degrees[a:b]), followers[own].astype("<u8").tobytes(), pack(times[own])))
+                yield pd.DataFrame(out, columns=["chunk", "bucket", "start", "spelling", "counts", "degrees", "followers", "pair_counts"])
+
+    columns = table.select("chunk", "learnt", "n_tokens", "tokens", "last", "words")
+    return columns.mapInPandas(run, "chunk bigint, bucket int, start int, spelling binary, counts binary, degrees binary, followers binary, pair_counts binary")
+
+
+def merged(strips: pd.DataFrame) -> tuple:
+    """A bucket's distinct words and pairs with their training counts, pairs by first word and digest of the
+    second; then for each strip the numbers of its words and of its pairs."""
     total: dict[bytes, int] = {}
-    for spelling, counts in zip(pdf["spelling"], pdf["counts"], strict=True):
-        for word, n in zip(spelling.split(b" "), np.frombuffer(counts, "<u4").tolist(), strict=True):
+    lists = [x.split(b" ") for x in strips["spelling"]]
+    for names, counts in zip(lists, strips["counts"], strict=True):
+        for word, n in zip(names, unpack(counts, "<u4").tolist(), strict=True):
             total[word] = total.get(word, 0) + n
     words = sorted(total)
-    c = np.array([total[w] for w in words], np.int64)
-    return pd.DataFrame({
-        "bucket": pdf["bucket"].iloc[:1], "spelling": [b" ".join(words)], "c": [c.astype("<i8").tobytes()], "t": [np.minimum(c, 1).astype("<i8").tobytes()], "p": [np.zeros(len(c)).tobytes()],
-        "tokens": [int(c.sum())], "known": [int((c > 0).sum())], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())], "tables": [int((c > 0).sum())], "mass": [0.0],
-    })
-
-
-WORDS = "bucket int, spelling binary, c binary, t binary, p binary, tokens bigint, known bigint, ones bigint, twos bigint, tables bigint, mass double"
+    number = {w: i for i, w in enumerate(words)}
+    own = [np.fromiter([number[w] for w in names], np.int64, len(names)) for names in lists]
+    first = np.concatenate([np.repeat(i, unpack(x, "<u4")) for i, x in zip(own, strips["degrees"], strict=True)])
+    second = np.concatenate([np.frombuffer(x, "<u8") for x in strips["followers"]])
+    times = np.concatenate([unpack(x, "<u4") for x in strips["pair_counts"]])
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(first[order]) != 0) | (second[order][1:] != second[order][:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    count = np.bincount(at, times, int(new.sum())).astype(np.int64)
+    ends = np.cumsum([len(x) // 8 for x in strips["followers"]])
+    return words, np.array([total[w] for w in words], np.int64), first[order][new], second[order][new], count, own, np.split(at, ends[:-1])
+
+
+def dealt(digest: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests in order of their buckets, where each of `digest` is among them, and the buckets."""
+    distinct, at = np.unique(digest, return_inverse=True)
+    bucket = (distinct % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[at], bucket[order]
+
+
+def letters(origin: int, distinct: np.ndarray, bucket: np.ndarray, *sums: np.ndarray) -> Iterator[tuple]:
+    """(bucket, origin, digests, sums) for each bucket that holds some of the words."""
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), origin, distinct[a:b].astype("<u8").tobytes(), pack(*[x[a:b].astype("<i8") for x in sums])
+
+
+COUNTED = "kind int, bucket int, origin int, spelling binary, c binary, single binary, ctx binary, digest binary, pc binary, sums binary, tokens bigint, known bigint, ones bigint, twos bigint, tables bigint"
+WORDS = "bucket int, origin int, number int, spelling binary, c binary, single binary, t binary, held binary, a binary, spell binary, ones bigint, twos bigint, tables bigint"
+PAIRS = "bucket int, single binary, ctx binary, digest binary, c binary, t binary, e binary, held binary, tables bigint"
+
+
+def counter(parts: int):
+    def run(strips: pd.DataFrame) -> pd.DataFrame:
+        """Kind 0: a bucket's words; 1: its pairs of two training occurrences or more; 2: to the buckets of the
+        following words, in how many pairs of one occurrence they stand and in how many at all."""
+        words, c, first, second, count, _, _ = merged(strips)
+        bucket, twice, once = int(strips["bucket"].iloc[0]), count > 1, count == 1
+        single = np.bincount(first[once], minlength=len(words)).astype("<i8")
+        none = (None,) * 15
+        out = [(0, bucket, -1, b" ".join(words), pack(c.astype("<i8")), *none[5:10], int(c.sum()), int((c > 0).sum()), 0, 0, 0)]
+        out.append((1, bucket, -1, None, None, pack(single), pack(first[twice].astype("<i4")), second[twice].astype("<u8").tobytes(), pack(count[twice].astype("<i8")), None, 0, 0, int(once.sum()), int((count == 2).sum()), int((count > 0).sum())))
+        distinct, at, goes = dealt(second[count > 0], parts)
+        for to, origin, digest, sums in letters(bucket, distinct, goes, np.bincount(at, once[count > 0], len(distinct)), np.bincount(at, minlength=len(distinct))):
+            out.append((2, to, origin, *none[3:7], digest, None, sums, 0, 0, 0, 0, 0))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(", ")])
+
+    return run
+
+
+def received(spelling: bytes, letters_in: pd.DataFrame, fields: int) -> tuple[np.ndarray, list]:
+    """Sums for a bucket's words of what came in, and for each letter the numbers of its words."""
+    digest = digests(spelling.split(b" "))
+    order = np.argsort(digest)
+    total, places = np.zeros((fields, len(digest)), np.int64), []
+    for keys, sums in zip(letters_in["digest"], letters_in["sums"], strict=True):
+        at = order[np.searchsorted(digest[order], np.frombuffer(keys, "<u8"))]
+        total[:, at] += unpack(sums, "<i8").reshape(fields, -1)
+        places.append(at)
+    return total, places
+
+
+def start_words(key: tuple, own: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+    row = own.iloc[0]
+    (single, n), _ = received(row.spelling, came, 2)
+    t = np.minimum(n, 1)
+    return pd.DataFrame([(row.bucket, -1, 0, row.spelling, row.c, pack(single), t.astype("<i8").tobytes(), b"", None, None, int((n == 1).sum()), int((n == 2).sum()), int(t.sum()))], columns=[x.split()[0] for x in WORDS.split(", ")])
 
 
 def gather_strings(words: DataFrame, seed: int) -> Speller:
@@ -243,28 +345,57 @@ def gather_strings(words: DataFrame, seed: int) -> Speller:
     return Speller(got["string"].to_numpy(np.int64), got["n"].to_numpy(np.int64), seed=seed)
 
 
-def predictive(c: np.ndarray, t: np.ndarray, spell: np.ndarray, tokens: int, tables: int, discount: float) -> np.ndarray:
-    return (np.maximum(c - discount * t, 0) + (STRENGTH + discount * tables) * spell) / (STRENGTH + tokens)
-
-
-def sweep(words: DataFrame, speller: Speller, tokens: int, tables: int, discount: float, number: int, burn: int, last: bool) -> DataFrame:
-    """One Gibbs sweep over the words: adds the predictive probabilities of the seating so far (none while
-    burning in) and tells how much of the spelling is known words'; seats every word anew, but in the last."""
-    model = words.sparkSession.sparkContext.broadcast(speller)
+def ask(parts: int):
+    """What the pairs of two or more tell the restaurant of words: the tables of each following word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                c, t, p = np.frombuffer(row.c, "<i8"), np.frombuffer(row.t, "<i8"), np.frombuffer(row.p)
-                spell = np.exp(model.value.log_words(*spelled(row.spelling.split(b" "))))
-                if number >= burn:
-                    p = p + predictive(c, t, spell, tokens, tables, discount)
-                if not last:
-                    pull = (STRENGTH + discount * np.maximum(tables - t, 0)) * spell
-                    t = seat(c, pull, discount, np.random.default_rng([number, row.bucket]))
-                yield pd.DataFrame([row._replace(t=t.astype("<i8").tobytes(), p=p.tobytes(), tables=int(t.sum()), mass=float(spell[c > 0].sum()))])
+                distinct, at, goes = dealt(np.frombuffer(row.digest, "<u8"), parts)
+                yield pd.DataFrame(letters(row.bucket, distinct, goes, np.bincount(at, unpack(row.t, "<i8"), len(distinct))), columns=["bucket", "origin", "digest", "sums"])
+
+    return run
+
+
+def seat_words(speller, tables: int, discount: float, number: int, keep: bool):
+    """Seats a bucket's words anew and answers the buckets that asked with customers less discounts and the
+    logarithm of the spelling's probability."""
+
+    def run(key: tuple, own: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        (more,), places = received(row.spelling, came, 1)
+        n = unpack(row.single, "<i8") + more
+        spell = speller.value.log_words(*spelled(row.spelling.split(b" ")))
+        pull = (STRENGTH + discount * np.maximum(tables - np.frombuffer(row.t, "<i8"), 0)) * np.exp(spell)
+        t = seat(n, pull, discount, np.random.default_rng([number, row.bucket]))
+        a = n - discount * t
+        held = row.held + (a.astype("<f4").tobytes() + spell.astype("<f4").tobytes() if keep else b"")
+        out = [(row.bucket, -1, 0, row.spelling, row.c, row.single, t.astype("<i8").tobytes(), held, None, None, 0, 0, int(t.sum()))]
+        for origin, at in zip(came["origin"], places, strict=True):
+            out.append((row.bucket, origin, row.bucket, *(None,) * 5, a[at].astype("<f4").tobytes(), spell[at].astype("<f4").tobytes(), 0, 0, 0))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in WORDS.split(", ")])
 
-    return staged(words.mapInPandas(run, WORDS), "words")
+    return run
+
+
+def seat_pairs(tokens: int, tables: int, d_word: float, discount: float, number: int, parts: int, keep: bool):
+    """Keeps what a bucket's contexts predict as seated, then seats their customers anew."""
+
+    def run(key: tuple, own: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        single, ctx, c, t, e = unpack(row.single, "<i8"), unpack(row.ctx, "<i4"), unpack(row.c, "<i8"), unpack(row.t, "<i8"), unpack(row.e, "<f4")
+        total, held = single + np.bincount(ctx, t, len(single)).astype(np.int64), row.held
+        if keep:
+            e, held = e + (c - discount * t).astype("<f4"), held + total.astype("<f4").tobytes()
+        if len(c):
+            came = came.sort_values("number")
+            a, spell = (np.concatenate([np.frombuffer(x, "<f4") for x in came[k]]).astype(np.float64) for k in ("a", "spell"))
+            _, at, _ = dealt(np.frombuffer(row.digest, "<u8"), parts)
+            p = ((a + (STRENGTH + d_word * tables) * np.exp(spell)) / (STRENGTH + tokens))[at]
+            t = seat(c, (STRENGTH + discount * np.maximum(total[ctx] - t, 0)) * p, discount, np.random.default_rng([number, row.bucket, 2]))
+        return pd.DataFrame([(row.bucket, row.single, row.ctx, row.digest, row.c, pack(t.astype("<i8")), pack(e.astype("<f4")), held, int(single.sum() + t.sum()))], columns=[x.split()[0] for x in PAIRS.split(", ")])
+
+    return run
 
 
 def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1) -> DataFrame:
@@ -273,48 +404,81 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
     small_batches(spark)
     parts = buckets(docs)
     table = staged(chunks(docs, learn, parts), "chunks")
-    strips = table.filter("bucket >= 0").select("chunk", "bucket", "start", "spelling", "counts")
-    words = staged(strips.groupBy("bucket").applyInPandas(count_words, WORDS), "words")
-    sums = words.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "known", "ones", "twos", "tables")]).first()
-    tokens, known, tables, discount = sums["tokens"], sums["known"], sums["tables"], discount_of(sums["ones"], sums["twos"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows of whole buckets and chunks
-    unknown = 0.0
+    strips = stripped(table, parts)
+    counted = staged(strips.groupBy("bucket").applyInPandas(counter(parts), COUNTED), "counted")
+    release(counted)
+    sums = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "known", "ones", "twos", "tables")]).first()
+    tokens, known, customers, discount = sums["tokens"], sums["known"], sums["tables"], discount_of(sums["ones"], sums["twos"])
+    zeros = F.udf(lambda c: pack(np.zeros(len(unpack(c, "<i8")), "<f4")), "binary")
+    ones = F.udf(lambda c: pack(np.ones(len(unpack(c, "<i8")), "<i8")), "binary")
+    pairs = counted.filter("kind = 1").select("bucket", "single", "ctx", "digest", F.col("pc").alias("c"), ones("pc").alias("t"), zeros("pc").alias("e"), F.lit(b"").alias("held"), "tables")
+    own, came = counted.filter("kind = 0").select("bucket", "spelling", "c"), counted.filter("kind = 2").select("bucket", "digest", "sums")
+    words = staged(own.groupBy("bucket").cogroup(came.groupBy("bucket")).applyInPandas(start_words, WORDS), "words")
+    pairs = staged(pairs, "pairs")
+    discard(counted)
+    sums = words.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("ones", "twos", "tables")]).first()
+    tables, d_word = sums["tables"], discount_of(sums["ones"], sums["twos"])
+    levels = []  # of each sample: customers and tables of the restaurant of words
     for number in range(burn + samples):
-        old = words
-        words = sweep(old, gather_strings(old, number), tokens, tables, discount, number, burn, number == burn + samples - 1)
+        keep, old = number >= burn, words
+        own = old.filter("origin = -1")
+        speller = spark.sparkContext.broadcast(gather_strings(own, number))
+        asked = pairs.mapInPandas(ask(parts), "bucket int, origin int, digest binary, sums binary")
+        words = staged(own.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(seat_words(speller, tables, d_word, number, keep), WORDS), "words")
+        discard(old)
+        tables = words.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("tables")).first()["tables"]
+        if keep:
+            levels.append((customers, tables))
+        answers = words.filter("origin >= 0").select("origin", "number", "a", "spell")
+        old = pairs
+        pairs = staged(old.groupBy("bucket").cogroup(answers.groupBy("origin")).applyInPandas(seat_pairs(customers, tables, d_word, discount, number, parts, keep), PAIRS), "pairs")
         discard(old)
-        now = words.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("tables"), F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass")).first()
-        if number >= burn:
-            unknown += (STRENGTH + discount * tables) / (STRENGTH + tokens) * max(1e-12, 1 - now["mass"]) / samples
-        tables = now["tables"]
+        customers = pairs.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("tables")).first()["tables"]
 
     def give(key: tuple, strip: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """To each chunk the counts and averaged log10 probabilities of its words."""
-        out = []
-        for row in own.itertuples(index=False):
-            names = row.spelling.split(b" ")
-            c, p = np.frombuffer(row.c, "<i8"), np.frombuffer(row.p) / samples
-            p = np.where(c > 0, p, unknown)
-            logs, at = np.log10(p).astype("<f4"), {w: i for i, w in enumerate(names)}
-            for s in strip.itertuples(index=False):
-                i = np.fromiter([at[w] for w in s.spelling.split(b" ")], np.int64)
-                out.append((s.chunk, s.start, c[i].astype("<u4" if c.max(initial=0) < 2**32 else "<u8").tobytes(), logs[i].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "start", "c", "logs"])
+        """To each chunk its words' counts, log probabilities and tables as contexts, of each sample, and of its
+        pairs the customers less discounts."""
+        if strip.empty or own.empty:
+            return pd.DataFrame({x: [] for x in ("chunk", "start", "c", "p", "seated", "e")})
+        row = own.iloc[0]
+        _, c, _, _, count, places, pair_places = merged(strip)
+        held, seated = np.frombuffer(row.held_words, "<f4").astype(np.float64).reshape(samples, 2, -1), np.frombuffer(row.held_pairs, "<f4").reshape(samples, -1)
+        p = np.empty((samples, len(c)), "<f4")
+        for k, (n, t) in enumerate(levels):
+            with np.errstate(divide="ignore"):
+                p[k] = np.logaddexp(np.log(held[k, 0]), math.log(STRENGTH + d_word * t) + held[k, 1]) - math.log(STRENGTH + n)
+        e = np.where(count == 1, 1 - discount, 0.0)
+        e[count > 1] = unpack(row.e, "<f4") / samples
+        out = [(chunk, start, pack(c[i].astype("<i8")), pack(p[:, i]), pack(seated[:, i]), pack(e[j].astype("<f4"))) for chunk, start, i, j in zip(strip["chunk"], strip["start"], places, pair_places, strict=True)]
+        return pd.DataFrame(out, columns=["chunk", "start", "c", "p", "seated", "e"])
 
     def score(key: tuple, body: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         back = back.sort_values("start")
-        logs = np.concatenate([np.frombuffer(x, "<f4") for x in back["logs"]]).astype(np.float64)
-        c = np.concatenate([np.frombuffer(x, "<u4" if len(x) == len(y) else "<u8") for x, y in zip(back["c"], back["logs"], strict=True)]).astype(np.int64)
+        c, e = (np.concatenate([unpack(x, kind) for x in back[name]]) for name, kind in (("c", "<i8"), ("e", "<f4")))
+        p, seated = (np.concatenate([unpack(x, "<f4").reshape(samples, -1) for x in back[name]], axis=1).astype(np.float64) for name in ("p", "seated"))
+        rest = np.log((STRENGTH + discount * seated) / (STRENGTH + c))
         base = np.log10((c + 1) / (tokens + known + 1))
         out = []
         for row in body.itertuples(index=False):
-            found, times, at = np.frombuffer(row.words, "<u4"), np.frombuffer(row.times, "<u4").astype(np.int64), np.asarray(row.at)[:-1]
-            add = lambda x: np.add.reduceat(x[found] * times, at)  # noqa: B023, E731
-            out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "learnt": list(row.learnt), "n_tokens": list(row.n_tokens), "n_known": add((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": add(base), "score": add(logs)}))
+            found, sizes = unpack(row.tokens, "<u4").astype(np.int64), np.asarray(row.n_tokens)
+            at = np.cumsum(sizes) - sizes
+            both, where = np.unique(paired(found, at, int(row.last), len(c)), return_inverse=True)
+            first, second = both // len(c), both % len(c)
+            with np.errstate(divide="ignore"):
+                logs = np.log(e.astype(np.float64) / (STRENGTH + c[first]))
+            logs = np.logaddexp(logs, np.logaddexp.reduce(rest[:, first] + p[:, second], axis=0) - math.log(samples)) / math.log(10)
+            add = lambda x: np.add.reduceat(x, at)  # noqa: B023, E731
+            out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "learnt": list(row.learnt), "n_tokens": list(row.n_tokens), "n_known": add((c > 0).astype(np.int64)[found]), "train_tokens": tokens, "base_score": add(base[found]), "score": add(logs[where])}))
         return pd.concat(out)
 
-    answers = strips.select("chunk", "bucket", "start", "spelling").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInPandas(give, "chunk bigint, start int, c binary, logs binary")
-    bodies = table.filter("bucket = -1").select("chunk", "doc_ids", "learnt", "n_tokens", "at", "words", "times")
+    seats = words.filter("origin = -1").select("bucket", F.col("held").alias("held_words")).join(pairs.select("bucket", F.col("held").alias("held_pairs"), "e"), "bucket")
+    seats = staged(seats, "seats")
+    discard(words)
+    discard(pairs)
+    answers = staged(strips.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(give, "chunk bigint, start int, c binary, p binary, seated binary, e binary"), "answers")
+    discard(seats)
+    bodies = table.select("chunk", "doc_ids", "learnt", "n_tokens", "tokens", "last")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, f"doc_id {kind}, learnt boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

@@ -272,6 +272,19 @@ def test_scores(table, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_scores_follow_the_order_of_words(spark):
+    base = prose(60).split()
+    rows = [(1000 + i, " ".join(base)) for i in range(12)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    texts = [" ".join(base), " ".join(sorted(base)), "unseenan", "zqxjkvwq"]
+    rows += list(zip(held, texts, strict=True))
+    got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    right, mixed, like, unlike = [got[i] for i in held]
+    assert right.held_out and mixed.held_out and right.base_score == pytest.approx(mixed.base_score)
+    assert right.score > mixed.score + 10
+    assert like.n_known == unlike.n_known == 1 and like.score > unlike.score  # unknown words are spelt
+
+
 def test_seats():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 5, 32, 33, 1000, 10**6])
