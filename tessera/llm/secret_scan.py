@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import text_or_empty
 
 #: The word before, what parts them, and the candidate.
-FINDING = r"([A-Za-z0-9_\-]{0,30}[\s\"'=:(,]{1,8})([A-Za-z0-9_+/=\-]{20,200})"
+FINDING = r"([A-Za-z0-9_\-]{0,30}[\s\"'=:(,]{1,8})([A-Za-z0-9_+/=\-]{20,}+)"
 #: Words that stand before secrets, and in paths of samples.
 TELLING = ["token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "credential", "bearer", "private"]
 SAMPLES = ["test", "example", "sample", "fixture", "mock", "doc"]

@@ -303,6 +303,13 @@ def test_secrets(table, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_long_secrets_are_taken_whole(spark):
+    runs = [hashlib.sha512(b"a").hexdigest() * 4 + end for end in ("b" * 60, "c" * 3000)]
+    rows = spark.createDataFrame([(i, f'key = "{x}" end', "a") for i, x in enumerate(runs)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(rows).collect()}
+    assert [(got[i].length, got[i].candidate_sha256) for i in (0, 1)] == [(len(x), hashlib.sha256(x.encode()).hexdigest()) for x in runs]
+
+
 def test_pipeline(spark, tmp_path, table):
     import corpus_pipeline
 
