@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
 
-#: The word before, what parts them, and the candidate.
-FINDING = r"([A-Za-z0-9_\-]{0,30}[\s\"'=:(,]{1,8})([A-Za-z0-9_+/=\-]{20,}+)"
+KEY, NAME, PARTS = r"[A-Za-z0-9_+/\-]", r"[A-Za-z0-9_\-]", r"\s\"'=:(,`\[\]<>{}|;"
+#: A run of key characters from its start on; "=" is padding at its end. The letter of an escaped line end is none of it. Directly after NAME= shorter runs count, too.
+START = rf"(?:(?<![A-Za-z0-9_+/\-\\])|(?<=\\[nrt])|(?<=\\)(?![nrt]))(?={KEY}{{20}}|(?<={NAME}=){KEY}{{8}})"
+#: The word before and what parts them, looked up and not consumed, so that it may be a candidate itself; and the candidate.
+BEFORE = rf"(?:(?<=((?<!{NAME}){NAME}{{1,60}}[{PARTS}\\]{{0,8}}(?:\\[nrt])?|(?<![A-Za-z0-9_\-{PARTS}\\])[{PARTS}\\]{{0,8}}(?:\\[nrt])?)))?"
+FINDING = rf"{START}{BEFORE}({KEY}{{8,}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\-]))?)"
 #: Words that stand before secrets, and in paths of samples.
 TELLING = ["token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "credential", "bearer", "private"]
 SAMPLES = ["test", "example", "sample", "fixture", "mock", "doc"]
@@ -94,9 +98,9 @@ def train_forest(labelled: DataFrame, trees: int = 25, depth: int = 7, seed: int
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     """doc_id, nth, candidate, before, path for every candidate of every text."""
     text = F.concat(F.lit(" "), text_or_empty())
-    found = F.regexp_extract_all(text, F.lit(FINDING), F.lit(0))
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(FINDING), F.lit(i)).alias(x) for i, x in ((1, "before"), (2, "candidate"))])
     rows = docs.select("doc_id", (F.col("source").cast("string") if path is None else path).alias("path"), F.posexplode(found).alias("nth", "found"))
-    return rows.select("doc_id", "nth", F.regexp_extract("found", FINDING, 2).alias("candidate"), F.regexp_extract("found", FINDING, 1).alias("before"), F.coalesce("path", F.lit("")).alias("path"))
+    return rows.select("doc_id", "nth", F.col("found")["candidate"].alias("candidate"), F.col("found")["before"].alias("before"), F.coalesce("path", F.lit("")).alias("path"))
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, accept: float = 0.5, path: Column | None = None) -> DataFrame:

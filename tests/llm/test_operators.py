@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, components, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality_rules, secret_scan, suffix_dedup
 from tessera.llm.common import LOWER_AZ
@@ -310,6 +311,19 @@ def test_long_secrets_are_taken_whole(spark):
     assert [(got[i].length, got[i].candidate_sha256) for i in (0, 1)] == [(len(x), hashlib.sha256(x.encode()).hexdigest()) for x in runs]
 
 
+def test_secrets_in_any_surroundings(spark):
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    texts = [f"`{key}`", f"[{key}]", f"<token>{key}</token>", "{" + key + "}", f"a|{key}", f";{key}", f"-----\\n{key}\\n", f" token={key}", f"AWS_SECRET_ACCESS_KEY={key}", f"token = \"{key}==\"", " password=e3b3ed3cc8548923d6"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("a"))
+    found = defaultdict(dict)
+    for r in secret_scan.candidates(rows).collect():
+        found[r.doc_id][r.candidate] = r.before
+    for i in range(len(texts) - 2):
+        assert key in found[i], texts[i]
+    assert found[7] == {key: "token="} and found[8][key] == "AWS_SECRET_ACCESS_KEY=" and found[9] == {key + "==": 'token = "'}
+    assert found[10] == {"e3b3ed3cc8548923d6": "password="}
+
+
 def test_pipeline(spark, tmp_path, table):
     import corpus_pipeline
 
