@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,60 @@ def worker_memo(name: str, limit: int) -> dict:
     return memo
 
 
+def drop_memos() -> None:
+    """Empty what another operator has kept in this Python worker: workers outlive the stages they serve."""
+    for memo in vars(sys.modules.get("_tessera_memo", types.ModuleType("none"))).values():
+        if isinstance(memo, dict):
+            memo.clear()
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads their differences over all bits."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+LETTER = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+STEP = np.uint64(0xD6E8FEB86659FD93)
+POWERS = np.cumprod(np.full(64, STEP), dtype=np.uint64)
+IN_WORD = np.ones(256, bool)
+IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes whose words are hashed at once; a slab ends at the end of a word.
+SLAB = 1 << 20
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, in order, without a Python object for each word."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + SLAB)
+        while end < len(data) and IN_WORD[data[end]]:
+            end += 1
+        parts.append(_slab_hashes(np.frombuffer(data, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _slab_hashes(data: np.ndarray) -> np.ndarray:
+    where = np.flatnonzero(IN_WORD[data])
+    if not where.size:
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(where) > 1]))
+    sizes = np.diff(np.append(first, where.size))
+    longest = int(sizes.max())
+    powers = POWERS if longest <= len(POWERS) else np.cumprod(np.full(longest, STEP), dtype=np.uint64)
+    values = LETTER[data[where]] * powers[np.arange(where.size) - np.repeat(first, sizes)]
+    return scrambled(np.add.reduceat(values, first) + sizes.astype(np.uint64))
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; spark.checkpoint.dir where it is set, else one of our own."""
+    """The shared folder for cut lineage: that of spark.checkpoint.dir. Where it is unset, a folder of our own
+    if all runs on this machine; on a cluster that is an error, as executors could not read it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,14 +104,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    if not _MADE:
-        atexit.register(_sweep)
-    _MADE.append((spark, path))
+    swept(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    if not _MADE:
+        atexit.register(_sweep)
+    _MADE.append((spark, path))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more, and let Spark drop the shuffles behind it."""
     if path := getattr(df, "_tessera_path", None):
@@ -98,15 +154,20 @@ def buckets(df: DataFrame, each: int = 4 << 20, least: int = 96) -> int:
     return max(least, min(1 << 20, input_bytes(df) // each))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch: documents can be long."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch: documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+#: Bytes that a broadcast side may have, as counted rows times their width in memory.
+BROADCAST = 32 << 20
 
 
-def within(df: DataFrame, ids: DataFrame, on: str, how: str = "inner", limit: int = 2_000_000) -> DataFrame:
-    """Join a wide table with a narrow one. The narrow side is broadcast only when its counted rows are
-    within `limit`; beyond it, the planner shuffles both sides."""
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
+def few(side: DataFrame, width: int = 64, rows: int | None = None) -> DataFrame:
+    """`side`, marked for broadcast only if its counted rows of `width` bytes each are within BROADCAST; beyond
+    that the planner shuffles both sides."""
+    return F.broadcast(side) if (side.count() if rows is None else rows) * width <= BROADCAST else side
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

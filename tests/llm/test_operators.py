@@ -87,41 +87,66 @@ def test_quality_keeps_the_usual_and_drops_the_odd(spark):
     assert not kept[999] and sum(kept.values()) >= 148
 
 
-@pytest.mark.parametrize("keep_first", [False, True])
-def test_repeats_against_brute_force(spark, empty, keep_first):
-    rng, length = random.Random(3), 40
-    common = ["".join(rng.choice("ab ") for _ in range(70)) for _ in range(3)]
-    docs = []
-    for i in range(60):
-        bits = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) for _ in range(3)]
-        docs.append((i, bits[0] + rng.choice(common) + bits[1] + rng.choice([common[0][:45], "ab" * 60, "é" * 30]) + bits[2]))
-    docs += [(60, docs[0][1]), (61, None), (62, ""), (63, "z" * 39), (64, "z" * 41)]
-    seen, first = Counter(), {}
+def brute_repeats(docs, length, keep_first, passage):
+    """n_bytes, n_removed, n_spans, kept_sha256, n_passage_words of each document, string by string."""
+    seen, first, having, want = Counter(), {}, defaultdict(set), {}
     for i, t in docs:
         b = (t or "").encode()
         for s in range(len(b) - length + 1):
             seen[b[s : s + length]] += 1
             first.setdefault(b[s : s + length], (i, s))
-    want = {}
+        w = b.split()
+        for s in range(len(w) - passage + 1):
+            having[tuple(w[s : s + passage])].add(i)
     for i, t in docs:
         b, gone = (t or "").encode(), set()
         for s in range(len(b) - length + 1):
             x = b[s : s + length]
             if (first[x] != (i, s)) if keep_first else seen[x] > 1:
                 gone |= set(range(s, s + length))
-        want[i] = (len(b), len(gone), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest())
+        w = b.split()
+        cover = {k for s in range(len(w) - passage + 1) if len(having[tuple(w[s : s + passage])]) > 1 for k in range(s, s + passage)}
+        want[i] = (len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest(), len(cover))
+    return want
+
+
+def removed(df, length, keep_first, **sizes):
+    rows = suffix_dedup.remove_repeats(df, length, keep_first, **sizes).collect()
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in rows}
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats_against_brute_force(spark, empty, keep_first):
+    rng, length = random.Random(3), 40
+    common = ["".join(rng.choice("ab ") for _ in range(70)) for _ in range(3)]
+    docs = []
+    for i in range(60):
+        bits = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) for _ in range(3)]
+        docs.append((i, bits[0] + rng.choice(common) + bits[1] + rng.choice([common[0][:45], "ab" * 60, "é" * 30]) + bits[2]))
+    docs += [(60, docs[0][1]), (61, None), (62, ""), (63, "z" * 39), (64, "z" * 41)]
+    want = brute_repeats(docs, length, keep_first, 9)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     for crowd in (2000, 3):  # crowded anchors take the other exact way
-        original = suffix_dedup.repeated_spans
-        try:
-            suffix_dedup.repeated_spans = lambda d, n, k: original(d, n, k, gram=16, crowd=crowd)  # noqa: B023
-            got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length, keep_first).collect()}
-        finally:
-            suffix_dedup.repeated_spans = original
-        assert got == want
+        assert removed(df, length, keep_first, gram=16, crowd=crowd, passage=9, words=4) == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passages_on_both_sides_of_the_production_sizes(spark):
+    """Passages of 45 to 60 words and of 380 to 420 bytes in prose, the whole at 400 bytes and 51 words."""
+    shared = [prose(n) for n in (45, 50, 51, 52, 60)] + [prose(90).encode()[:n].decode() for n in (380, 399, 400, 401, 420)]
+    docs = [(i, f"{prose(30)}  {shared[i % 10]} {prose(20 + i)}") for i in range(40)] + [(40, prose(700)), (41, "z" * 5000 + " " + prose(60))]
+    want = brute_repeats(docs, 400, False, 51)
+    got = removed(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 400, False)
+    assert got == want
+    assert all((got[i][4] > 0) for i in range(40) if i % 10 in (2, 3, 4)) and got[40][4] == got[0][4] == 0 and got[40][1] == 0
+
+
+def test_repeats_with_text_identifiers(spark):
+    text = prose(120)
+    rows = spark.createDataFrame([("a", text), ("b", text), ("b", text), (None, text[:300])], "doc_id string, text string")
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(rows, keep_first=False).collect()].count(len(text.encode())) == 3
+
+
 def test_repeats_on_the_awkward_table(table):
     rows = suffix_dedup.remove_repeats(table, keep_first=False).collect()
     assert len(rows) == len(awkward()) and all(r.n_bytes >= r.n_removed >= 0 for r in rows)
