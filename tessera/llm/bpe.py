@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, small_batches, text_or_empty, worker_memo
 
@@ -207,14 +208,15 @@ class Encoder:
         return self.blob[at].tobytes().decode("utf-8", "replace").encode()
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; with keep_ids the ids as an array, with
-    keep_text the decoded text."""
+    keep_text the decoded text, and the columns of `carry`."""
     spark = docs.sparkSession
     small_batches(spark)
     tables = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    rows = docs.select("doc_id", text_or_empty().alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text + carried
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tables.value, worker_memo("bpe_words", MEMO), worker_memo("bpe_runs", MEMO))
@@ -228,6 +230,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False
                 out["ids"] = [i.astype(np.int32) for i in ids]
             if keep_text:
                 out["decoded"] = [t.decode() for t in text]
+            for c in carry:
+                out[c] = batch[f"carry_{c}"]
             yield out
 
     return rows.mapInPandas(run, schema)

@@ -130,6 +130,12 @@ def release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def discarded(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder that nothing reads any more."""
+    if path:
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -3,7 +3,9 @@
 Within a source, documents are put in order of size and then of a hash of their identifiers; the prefix
 sum of their expected copies, shifted by one random offset a source, is cut at the integers, and a
 document is emitted once for each integer that its own interval crosses. In the order of size a step of
-the sampling meets documents of all sizes, so the words taken come near the target.
+the sampling meets documents of all sizes, so the words taken come near the target. The offset is the one
+of OFFSETS evenly spaced ones, which start at a random place, whose words come nearest; it matters for
+sources of few documents.
 
 Prefix sums are dealt out: blocks of a source's order are summed first, the sums of blocks are
 accumulated, and each block then accumulates its own rows, so a hot source or one size shared by very
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import WORD_CLASS, input_bytes, staged, text_or_empty
+from tessera.llm.common import WORD_CLASS, few, staged, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
+OFFSETS = 16
 #: Expected copies are counted in units of 1 / UNIT.
 UNIT = 1 << 24
 
@@ -58,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def systematic_copies(rows: DataFrame, seed: str = "mix", block_rows: int = 50_000) -> DataFrame:
-    """Adds `copies` to rows that have doc_id, source, size and expected (copies, at most a few)."""
+    """Adds `copies` to rows that have doc_id, source, size, target and expected (copies, at most a few)."""
     blocks = max(8, rows.count() // block_rows)
     rows = rows.withColumns({
         "part": F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(blocks)),
@@ -75,17 +78,21 @@ def systematic_copies(rows: DataFrame, seed: str = "mix", block_rows: int = 50_0
     joined = rows.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("part") == F.col("b_part")))
     own = W.partitionBy("source", "size", "part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("\x00")))), 1, 6), 16, 10).cast("long")  # of 2 ** 24 units
-    joined = joined.withColumn("upto", F.col("start") + F.sum("units").over(own) + offset)
-    copies = F.expr(f"(upto div {UNIT}) - ((upto - units) div {UNIT})")
-    return joined.withColumn("copies", copies).drop("part", "units", "b_source", "b_size", "b_part", "start", "upto")
+    joined = joined.withColumn("upto", F.col("start") + F.sum("units").over(own) + offset).drop("part", "b_source", "b_size", "b_part", "start")
+    joined = staged(joined, "order")
+    copies = lambda shift: F.expr(f"((upto + {shift}) div {UNIT}) - ((upto + {shift} - units) div {UNIT})")
+    shifts = [k * UNIT // OFFSETS for k in range(OFFSETS)]
+    off = lambda k: F.abs(F.sum(F.col("size") * copies(shifts[k])) - F.max("target"))
+    best = joined.groupBy("source").agg(F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(shifts[k]).alias("shift")) for k in range(OFFSETS)])).alias("best"))
+    best = staged(best.select(F.col("source").alias("b_source"), F.col("best.shift").alias("shift")), "offsets")
+    return joined.join(few(best, 128), F.col("source").eqNullSafe(F.col("b_source"))).withColumn("copies", copies("shift")).drop("units", "upto", "shift", "b_source")
 
 
 def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes) and copies for each row."""
     sized = staged(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD_CLASS)).cast("long").alias("size")), "sizes")
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "t_source")
-    few = targets.count() <= 100_000  # one row a source; beyond that many the planner shuffles
-    rows = sized.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    rows = sized.join(few(targets, 256), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     rows = rows.withColumn("expected", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     rows = systematic_copies(rows, seed)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
@@ -100,8 +107,7 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     same = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in columns]))
     repeated = counts.filter(F.size("mix_copies") > 1).limit(1).count() > 0
     rows = docs.withColumn("mix_row", F.row_number().over(same) if repeated else F.lit(1))
-    small = input_bytes(counts) <= 16 << 20  # else the planner shuffles
-    rows = rows.join(F.broadcast(counts) if small else counts, F.col(key).eqNullSafe(F.col("mix_key")))
+    rows = rows.join(few(counts, 96), F.col(key).eqNullSafe(F.col("mix_key")))
     rows = rows.withColumn("mix_times", F.element_at("mix_copies", F.col("mix_row")).cast("int")).filter("mix_times > 0")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
     return rows.select(*columns)
