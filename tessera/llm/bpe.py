@@ -26,7 +26,8 @@ from tessera.llm.common import ship, small_batches, text_or_empty, worker_memo
 #: The public byte-level pre-tokenization pattern (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
-MEMO = 400_000
+#: Words, and runs between spaces, that a Python worker remembers.
+MEMO = 100_000
 #: Pair table: slots (a power of two, many times the merges) and the multiplier of its hash.
 SLOTS, SPREAD = 1 << 20, np.int64(0x1E3779B97F4A7C15)
 

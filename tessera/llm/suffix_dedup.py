@@ -293,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
                     held.append(places(data, rid, doc, passage, words, True))
                     kinds.append(True)
                 size += sum(map(len, held[-2:]))
-            if size > 1_000_000:
+            if size > 300_000:
                 yield strips(held, kinds, parts)
                 held, kinds, size = [], [], 0
         if held:
@@ -355,7 +355,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
                     held.append(out)
                     kinds.append(of_words)
                     size += len(out)
-            if size > 500_000:
+            if size > 300_000:
                 yield strips(held, kinds, parts)
                 held, kinds, size = [], [], 0
         if held:
