@@ -7,6 +7,7 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera import provenance, schemas
 from tessera.operators import decide, diagnose, evaluate, models, pair_features, retrieve, terms
@@ -78,10 +79,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     resolved = decide.resolutions(disposed, queries)
     decide.check_aligned(graph, scores, owned, disposed)
     decide.check_exclusive(resolved)
-    capsules = decide.evidence(graph, owned, disposed, resolved)
+    capsules = decide.evidence(graph, owned, resolved)
     answers = {
         "resolve run": lambda: {"decisions": _rows(resolved.groupBy("decision_type").count())},
-        "resolve explain": lambda: {"pairs": _rows(decide.explain(graph, owned, disposed).filter(f"s1_id = '{a.query}'"))},
+        "resolve explain": lambda: {"pairs": _rows(decide.explain(graph, owned, disposed).filter(F.col("s1_id") == a.query))},
         "resolve export-evidence": lambda: {"written": capsules.write.parquet(a.out) or a.out},
         "evaluate quality": lambda: {"report": _rows(evaluate.quality_report(evaluate.set_metrics(resolved, truth)))},
         "evaluate failures": lambda: {"counts": _rows(evaluate.failure_counts(evaluate.failures(graph, owned, disposed, truth)))},

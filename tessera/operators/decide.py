@@ -36,11 +36,12 @@ def ownership(scores: DataFrame) -> DataFrame:
     )
 
 
-def dispositions(owned: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Accepted: owner at the threshold or above. A low score is named before a lost ownership."""
+def dispositions(owned: DataFrame, threshold: float = THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted: owner at the threshold or above. A low score is named before a lost ownership. extra: columns
+    of `owned` that go along."""
     enough = F.col("score") >= threshold
     reason = F.when(~enough, "BELOW_THRESHOLD").when(~F.col("is_owner"), "LOST_OWNERSHIP").otherwise("NONE")
-    return owned.select("s1_id", "target_id", "score", "is_owner", F.lit(threshold).alias("threshold"), F.round(F.col("score") - threshold, 9).alias("threshold_margin"), (enough & F.col("is_owner")).alias("accepted"), reason.alias("rejection_reason"))
+    return owned.select("s1_id", "target_id", "score", "is_owner", F.lit(threshold).alias("threshold"), F.round(F.col("score") - threshold, 9).alias("threshold_margin"), (enough & F.col("is_owner")).alias("accepted"), reason.alias("rejection_reason"), *extra)
 
 
 def resolutions(disposed: DataFrame, queries: DataFrame) -> DataFrame:
@@ -65,10 +66,10 @@ def check_aligned(candidates: DataFrame, scores: DataFrame, owned: DataFrame, di
     refuse(joined.filter("not (a <=> b and x <=> y)"), "stages disagree")
 
 
-def evidence(candidates: DataFrame, owned: DataFrame, disposed: DataFrame, resolved: DataFrame) -> DataFrame:
+def evidence(candidates: DataFrame, owned: DataFrame, resolved: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a query: what its decision rests on."""
     keys = ["s1_id", "target_id"]
-    rows = disposed.join(owned.select(*keys, "rival_margin"), keys).join(candidates.select(*keys, F.bit_count("retrieval_view_mask").alias("lanes")), keys)
+    rows = dispositions(owned, threshold, ("rival_margin",)).join(candidates.select(*keys, F.bit_count("retrieval_view_mask").alias("lanes")), keys)
     nth = F.row_number().over(W.partitionBy("s1_id").orderBy(F.desc("score"), "target_id"))
     rows = rows.withColumn("nth", nth)
     ok = F.col("accepted")

@@ -14,6 +14,7 @@ from tessera.functions import fuzzy
 from tessera.functions import text as X
 from tessera.functions.script import latin_table, script_column, transliterated
 from tessera.operators.retrieve import lane_rows  # noqa: F401  (the inverse pivot belongs to the feature surface)
+from tessera.operators.retrieve import combined
 from tessera.schemas import ABSENT_RANK, LANES
 
 # The names and order of the feature contract.
@@ -124,6 +125,13 @@ def cosines(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(found, ["s1_id", "target_id"], "left").select("s1_id", "target_id", place(n).alias("exact_name_cosine"), place(c).alias("exact_compact_name_cosine"), place(a).alias("exact_address_cosine"), place(0.5 * n + 0.5 * a).alias("exact_combined_cosine"))
 
 
+def known_cosines(candidates: DataFrame, products: DataFrame) -> DataFrame:
+    """cosines() where the products of all pairs are at hand: every candidate is one of them."""
+    place = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 9)
+    rows = candidates.select("s1_id", "target_id").join(products.select("s1_id", "target_id", "name", "compact", "address"), ["s1_id", "target_id"], "left")
+    return rows.select("s1_id", "target_id", place(F.col("name")).alias("exact_name_cosine"), place(F.col("compact")).alias("exact_compact_name_cosine"), place(F.col("address")).alias("exact_address_cosine"), place(combined()).alias("exact_combined_cosine"))
+
+
 def ranks(rows: DataFrame) -> DataFrame:
     """Each lane's rank from zero; absent lanes have a sentinel."""
     name = lambda lane: "compact_name_rank" if lane == "compact" else f"{lane}_rank"

@@ -55,8 +55,17 @@ def fitted(rows: DataFrame, profile: Profile) -> DataFrame:
     sizes = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     if not sizes.filter(F.col("n") > profile.cap).take(1):
         return rows
-    order = W.partitionBy("country").orderBy(F.xxhash64(F.lit(profile.seed), "source", "entity_id"), "source", "entity_id")
-    return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= profile.cap).drop("_nth")
+    # ranges of the hash are counted; whole ranges stay up to the one in which the cap falls, which alone is ranked
+    mark = F.xxhash64(F.lit(profile.seed), "source", "entity_id")
+    rows = rows.withColumns({"_mark": mark, "_range": F.shiftright(mark, 48)})
+    ranges = rows.groupBy("country", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("country").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # 65,536 rows a country at most
+    ranges = ranges.select(F.col("country").alias("_c"), F.col("_range").alias("_r"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).filter(F.col("_before") < profile.cap)
+    rows = rows.join(ranges, F.col("country").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    cut = F.col("_before") + F.col("_n") > profile.cap
+    nth = F.row_number().over(W.partitionBy("country", "_range").orderBy("_mark", "source", "entity_id"))
+    whole, edge = rows.filter(~cut), rows.filter(cut).withColumn("_nth", nth).filter(F.col("_before") + F.col("_nth") <= profile.cap).drop("_nth")
+    return whole.unionByName(edge).drop("_mark", "_range", "_c", "_r", "_n", "_before")
 
 
 def eligible(rows: DataFrame) -> DataFrame:
@@ -74,22 +83,24 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return long.groupBy("country", "source", "entity_id", "view", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(rows: DataFrame, profile: Profile) -> DataFrame:
+def vocabulary(rows: DataFrame, profile: Profile, counted: DataFrame | None = None) -> DataFrame:
     """country, view, term, df, n, idf: terms that survive the profile's limits, fitted within each country
-    over queries and targets. n counts all fitted documents, those without text too."""
-    rows = fitted(rows, profile)
+    over queries and targets. n counts all fitted documents, those without text too. counted: term_counts(rows),
+    where it is at hand."""
+    all_rows, rows = rows, fitted(rows, profile)
     sizes = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    counts = term_counts(rows).groupBy("country", "view", "term").agg(F.count(F.lit(1)).alias("df"))
+    counts = (counted if counted is not None and rows is all_rows else term_counts(rows)).groupBy("country", "view", "term").agg(F.count(F.lit(1)).alias("df"))
     joined = counts.join(sizes.withColumnRenamed("country", "_c"), F.col("country").eqNullSafe(F.col("_c"))).drop("_c")
     most = F.lit(profile.max_df) * F.col("n")
     kept = joined.filter((most >= profile.min_df) & (F.col("df") >= profile.min_df) & (F.col("df") <= most))
     return kept.withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)
 
 
-def term_weights(rows: DataFrame, profile: Profile) -> DataFrame:
-    """country, source, entity_id, view, term, w: (1 + ln tf) idf, of unit length in each view."""
-    words = vocabulary(rows, profile).select(F.col("country").alias("_c"), F.col("view").alias("_v"), F.col("term").alias("_t"), "idf")
-    counts = term_counts(rows)
+def term_weights(rows: DataFrame, profile: Profile, counted: DataFrame | None = None) -> DataFrame:
+    """country, source, entity_id, view, term, w: (1 + ln tf) idf, of unit length in each view. counted:
+    term_counts(rows), where it is at hand, to be read for frequencies and for weights."""
+    counts = term_counts(rows) if counted is None else counted
+    words = vocabulary(rows, profile, counted).select(F.col("country").alias("_c"), F.col("view").alias("_v"), F.col("term").alias("_t"), "idf")
     joined = counts.join(words, F.col("country").eqNullSafe(F.col("_c")) & (F.col("view") == F.col("_v")) & (F.col("term") == F.col("_t")))
     raw = joined.select("country", "source", "entity_id", "view", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("source", "entity_id", "view")))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import decide, pair_features, retrieve, terms
+from tessera.operators import decide, evaluate, pair_features, retrieve, terms
 from tessera.schemas import ENTITY_VERSION
+from tessera.staging import staged
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as entities: a third of them queries; name and address cut from the text; language as country."""
+    """documents as entities: a third of them queries; characters 1 to 40 as name and 41 to 100 as
+    address, fields of the length that entities have; language as country."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = F.when(F.col("doc_id") % 3 == 0, "S1").when(F.col("doc_id") % 3 == 1, "S2").otherwise("S3")
     return d.select(F.col("doc_id").cast("string").alias("entity_id"), source.alias("source"), F.substring("text", 1, 40).alias("business_name"), F.substring("text", 41, 60).alias("business_address"), F.col("lang").alias("country"), F.lit(ENTITY_VERSION).alias("schema_version"))
@@ -40,24 +44,78 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Run:
-    """The stages over one input, each made once: the graph is kept before labels are read."""
+    """The stages over one input, each made and written once, when first asked for: the graph is kept before
+    labels are read, and a later stage's plan starts from the tables of the earlier ones."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, profile: terms.Profile = terms.STRICT):
-        self.profile = profile
+        self.spark, self.sf_dir, self.profile = spark, sf_dir, profile
         self.entities = terms.normalized(entities(spark, sf_dir))
         self.rows = terms.eligible(terms.views(self.entities))
-        self.weights = terms.term_weights(self.rows, profile).persist()
-        self.pairs = retrieve.products(self.weights)
-        self.hits = retrieve.lane_hits(self.pairs, profile).persist()
-        self.candidates = retrieve.union_lanes(self.hits).persist()
         self.queries = self.entities.filter("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
-        self.cosines = pair_features.cosines(self.candidates, self.weights).persist()
-        self.scores = decide.stub_scores(self.cosines)
-        self.owned = decide.ownership(self.scores).persist()
-        self.disposed = decide.dispositions(self.owned)
-        self.resolved = decide.resolutions(self.disposed, self.queries)
-        self.truth = truth(spark, sf_dir).persist()
-        self.paired = pair_features.paired(self.candidates, self.entities)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return staged(terms.term_counts(self.rows), "counts")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return staged(terms.term_weights(self.rows, self.profile, self.counts), "weights")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return staged(retrieve.products(self.weights), "products")
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return staged(retrieve.lane_hits(self.pairs, self.profile), "hits")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return staged(retrieve.union_lanes(self.hits), "candidates")
+
+    @cached_property
+    def cosines(self) -> DataFrame:
+        return staged(pair_features.known_cosines(self.candidates, self.pairs), "cosines")
+
+    @property
+    def scores(self) -> DataFrame:
+        return decide.stub_scores(self.cosines)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return staged(pair_features.pair_features(self.candidates, self.entities, self.weights), "features")
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        return staged(decide.ownership(self.scores), "owned")
+
+    @property
+    def disposed(self) -> DataFrame:
+        return decide.dispositions(self.owned)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return staged(decide.resolutions(self.disposed, self.queries), "resolved")
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return staged(truth(self.spark, self.sf_dir), "truth")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return staged(decide.evidence(self.candidates, self.owned, self.resolved), "evidence")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return staged(evaluate.set_metrics(self.resolved, self.truth), "metrics")
+
+    @cached_property
+    def failed(self) -> DataFrame:
+        return staged(evaluate.failures(self.candidates, self.owned, self.disposed, self.truth), "failures")
+
+    @property
+    def paired(self) -> DataFrame:
+        return pair_features.paired(self.candidates, self.entities)
 
 
 _RUNS: dict[tuple, Run] = {}

@@ -13,6 +13,7 @@ from tessera.functions import fuzzy
 from tessera.operators import decide, diagnose, evaluate, models, pair_features, research, retrieve, terms
 from tessera.plans.fixtures import entities, parts, run, traders, truth
 from tessera.plans.sql import FOLD, LANES, grams, sql
+from tessera.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,7 +65,7 @@ def source_split(spark, sf):
 @query("vocabulary", "select country, view, term, df, n, round(idf, 6) as idf from vocab")
 def vocabulary(spark, sf):
     r = run(spark, sf)
-    return terms.vocabulary(r.rows, r.profile).select("country", "view", "term", "df", "n", F.round("idf", 6).alias("idf"))
+    return terms.vocabulary(r.rows, r.profile, r.counts).select("country", "view", "term", "df", "n", F.round("idf", 6).alias("idf"))
 
 
 @query("term_weights", "select country, source, entity_id, view, term, round(w, 6) as w from weights")
@@ -140,19 +141,15 @@ def top1_candidates(spark, sf):
 
 
 @query("embedding_neighbours", """with e as (select vec_id, label, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
-select q.vec_id as s1_id, t.vec_id as target_id, round(list_dot_product(q.v, t.v) / (q.n * t.n), 6) as similarity from e q join e t on q.label = t.label where q.vec_id % 100 = 0 and t.vec_id <> q.vec_id
+select q.vec_id as s1_id, t.vec_id as target_id, q.label = t.label as same_label, round(list_dot_product(q.v, t.v) / (q.n * t.n), 6) as similarity from e q join e t on t.vec_id <> q.vec_id where q.vec_id % 100 = 0
 qualify row_number() over (partition by q.vec_id order by round(list_dot_product(q.v, t.v) / (q.n * t.n), 9) desc, t.vec_id) <= 5""")
 def embedding_neighbours(spark, sf):
-    """A stated set of query vectors against all of their label, best five each."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("s1_id"), "label", F.col("v").alias("qv"), F.col("n").alias("qn"))
-    rows = q.join(e, "label").filter("vec_id <> s1_id").withColumn("sim", dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")))
-    from pyspark.sql.window import Window as W
-
-    order = W.partitionBy("s1_id").orderBy(F.round("sim", 9).desc(), "vec_id")
-    return rows.withColumn("nth", F.row_number().over(order)).filter("nth <= 5").select("s1_id", F.col("vec_id").alias("target_id"), F.round("sim", 6).alias("similarity"))
+    """The stated set of query vectors against all others, best five each."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
+    q = e.filter("vec_id % 100 = 0")
+    found = retrieve.nearest(q.select("vec_id", "embedding"), e.select("vec_id", "embedding"), 5)
+    of = lambda df, key, name: df.select(F.col("vec_id").alias(key), F.col("label").alias(name))
+    return found.join(of(q, "s1_id", "ql"), "s1_id").join(of(e, "target_id", "tl"), "target_id").select("s1_id", "target_id", (F.col("ql") == F.col("tl")).alias("same_label"), F.round("similarity", 6).alias("similarity"))
 
 
 # Diagnostics
@@ -206,14 +203,12 @@ _POINTS = " union all ".join(f"select 'k{k}' as name, count(distinct (s1_id, tar
 @query("frontier", f"with points as ({_POINTS}) select name, candidate_pairs::bigint as candidate_pairs, round(recall, 6) as recall, not exists (select 1 from points o where o.recall >= p.recall and o.candidate_pairs <= p.candidate_pairs and (o.recall > p.recall or o.candidate_pairs < p.candidate_pairs)) as pareto from points p")
 def frontier(spark, sf):
     """Recall against candidates for several budgets of all lanes, and which points none dominates."""
-    r, points = run(spark, sf), None
-    for k in (1, 2, 3, 5):
-        pairs = r.hits.filter(F.col("rank") <= k).select(*KEYS).distinct()
-        hit = pairs.join(r.truth, KEYS, "left_semi").agg(F.count(F.lit(1)).alias("hit"))
-        point = pairs.agg(F.count(F.lit(1)).alias("candidate_pairs")).crossJoin(hit).crossJoin(r.truth.agg(F.count(F.lit(1)).alias("t")))  # single rows
-        point = point.select(F.lit(f"k{k}").alias("name"), "candidate_pairs", F.try_divide("hit", "t").alias("recall"))
-        points = point if points is None else points.unionByName(point)
-    return diagnose.pareto(points, "candidate_pairs").withColumn("recall", F.round("recall", 6))
+    r, budgets = run(spark, sf), (1, 2, 3, 5)
+    best = r.hits.groupBy(*KEYS).agg(F.min("rank").alias("rank")).join(r.truth.withColumn("hit", F.lit(1)), KEYS, "left")
+    counts = [F.struct(F.lit(f"k{k}").alias("name"), F.count_if(F.col("rank") <= k).alias("candidate_pairs"), F.count_if((F.col("rank") <= k) & (F.col("hit") == 1)).alias("hits")) for k in budgets]
+    totals = best.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("p")).select("p.*").crossJoin(r.truth.agg(F.count(F.lit(1)).alias("t")))  # a row a budget, by a single row
+    points = totals.select("name", "candidate_pairs", F.try_divide("hits", "t").alias("recall"))
+    return diagnose.pareto(staged(points, "points"), "candidate_pairs").withColumn("recall", F.round("recall", 6))
 
 
 # Pair features
@@ -256,7 +251,8 @@ def features_fuzzy(spark, sf):
 
 @query("features_cosine", "select * from cosines")
 def features_cosine(spark, sf):
-    return run(spark, sf).cosines
+    r = run(spark, sf)
+    return pair_features.cosines(r.candidates, r.weights)
 
 
 @query("features_rank", "select s1_id, target_id, " + ", ".join(f"coalesce({x}_rank::double - 1, 999.0::double) as {'compact_name' if x == 'compact' else x}_rank" for x in LANES) + " from cand")
@@ -289,7 +285,7 @@ def features_cross_script(spark, sf):
 @query("features_all")
 def features_all(spark, sf):
     r = run(spark, sf)
-    return pair_features.pair_features(r.candidates, r.entities, r.weights)
+    return r.features
 
 
 @query("features_masked", "select s1_id, target_id, 0.0::double as exact_name_cosine, round(exact_combined_cosine * 0, 6) as exact_combined_cosine from cosines")
@@ -337,13 +333,13 @@ def stage_alignment(spark, sf):
 @query("evidence", "select * replace (array_to_string(accepted_targets, ',') as accepted_targets) from evidence")
 def evidence(spark, sf):
     r = run(spark, sf)
-    return decide.evidence(r.candidates, r.owned, r.disposed, r.resolved).withColumn("accepted_targets", F.array_join("accepted_targets", ","))
+    return r.evidence.withColumn("accepted_targets", F.array_join("accepted_targets", ","))
 
 
 @query("risks", "select * from risks")
 def risks(spark, sf):
     r = run(spark, sf)
-    return decide.risks(decide.evidence(r.candidates, r.owned, r.disposed, r.resolved))
+    return decide.risks(r.evidence)
 
 
 @query("policy_check", "select (select count(*) from (select target_id from owned group by 1 having count(*) > 1)) as contested_targets, (select count(*) from owned where is_owner) as owners, (select count(*) from disposed d join truth t on d.s1_id = t.s1_id and d.target_id = t.target_id where rejection_reason = 'LOST_OWNERSHIP') as ownership_loss_truths")
@@ -364,7 +360,7 @@ def explain(spark, sf):
 @query("set_metrics", "select * from metrics")
 def set_metrics(spark, sf):
     r = run(spark, sf)
-    return evaluate.set_metrics(r.resolved, r.truth)
+    return r.metrics
 
 
 _MACRO = "count(*) as query_count, round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f05), 6) as macro_f05, round(avg(exact_set::int::double), 6) as exact_set_accuracy, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn"
@@ -373,7 +369,7 @@ _MACRO = "count(*) as query_count, round(avg(precision), 6) as macro_precision,
 @query("quality_report", f"select cohort, {_MACRO} from (select *, unnest(['all', case when truth_count = 0 then 'zero' when truth_count = 1 then 'single' else 'multi' end]) as cohort from metrics) group by cohort")
 def quality_report(spark, sf):
     r = run(spark, sf)
-    return evaluate.quality_report(evaluate.set_metrics(r.resolved, r.truth))
+    return evaluate.quality_report(r.metrics)
 
 
 _BIN = "case " + " ".join(f"when score >= {i / 10!r}::double then {i}" for i in range(9, 0, -1)) + " else 0 end::bigint"
@@ -408,7 +404,7 @@ def score_distributions(spark, sf):
 
 
 def _failed(r) -> DataFrame:
-    return evaluate.failures(r.candidates, r.owned, r.disposed, r.truth)
+    return r.failed
 
 
 @query("failures", "select * replace (array_to_string(tags, ',') as tags) from failures")
@@ -453,7 +449,7 @@ def cohort_tags(spark, sf):
 def cohort_quality(spark, sf):
     r = run(spark, sf)
     tags = research.cohort_tags(r.entities, r.truth, r.candidates, r.owned, scripts=False)
-    return research.cohort_quality(tags, evaluate.set_metrics(r.resolved, r.truth))
+    return research.cohort_quality(tags, r.metrics)
 
 
 @query("script_cohorts")
@@ -471,9 +467,9 @@ def atlas(spark, sf):
 @query("risk_coverage", "select row_number() over w as nth, s1_id, round(avg(1 - f05) over (order by structure_risk, s1_id rows unbounded preceding), 6) as running_error from risks join metrics using (s1_id) window w as (order by structure_risk, s1_id)")
 def risk_coverage(spark, sf):
     r = run(spark, sf)
-    risk = decide.risks(decide.evidence(r.candidates, r.owned, r.disposed, r.resolved))
-    rows = risk.join(evaluate.set_metrics(r.resolved, r.truth), "s1_id").select("s1_id", F.col("structure_risk").alias("risk"), (1 - F.col("f05")).alias("error"))
-    return research.risk_coverage(rows)
+    risk = decide.risks(r.evidence)
+    rows = risk.join(r.metrics, "s1_id").select("s1_id", F.col("structure_risk").alias("risk"), (1 - F.col("f05")).alias("error"))
+    return research.risk_coverage(staged(rows, "risk"))
 
 
 def _perturbed(name: str, text: str) -> None:
@@ -514,7 +510,7 @@ def stability(spark, sf):
 def paired_delta(spark, sf):
     r = run(spark, sf)
     other = decide.resolutions(decide.dispositions(r.owned, 0.9), r.queries)
-    return research.paired_delta(evaluate.set_metrics(r.resolved, r.truth), evaluate.set_metrics(other, r.truth))
+    return research.paired_delta(r.metrics, evaluate.set_metrics(other, r.truth))
 
 
 @query("stage_movement", "select failure_stage as from_stage, failure_stage as to_stage, count(*) as n from failures group by all")
@@ -554,9 +550,8 @@ def row_digests(spark, sf):
 
 def _fitted(spark, sf, scorer):
     r = run(spark, sf)
-    features = pair_features.pair_features(r.candidates, r.entities, r.weights).persist()
-    scorer.fit(features, evaluate.mine_pairs(r.candidates, r.truth))
-    return scorer.predict(features)
+    scorer.fit(r.features, evaluate.mine_pairs(r.candidates, r.truth))
+    return scorer.predict(r.features)
 
 
 @query("logistic_scores")
@@ -577,9 +572,9 @@ def bootstrap_delta(spark, sf):
     return spark.createDataFrame([(found["mean"], found["low"], found["high"])], "mean double, low double, high double")
 
 
-@query("fold_check", f"select doc_id, {FOLD.format('substring(text, 1, 500)')} as folded from documents")
+@query("fold_check", f"select doc_id, {FOLD.format('text')} as folded from documents")
 def fold_check(spark, sf):
     from tessera.functions.text import fold
 
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", fold(F.substring("text", 1, 500)).alias("folded"))
+    return d.select("doc_id", fold("text").alias("folded"))
