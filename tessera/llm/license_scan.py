@@ -1,11 +1,13 @@
 """Licence scans with a positional rare-token index.
 
-Templates are indexed by word: for each word its inverse document frequency over the templates and its
-postings (template, position). In a file the licence words of the highest IDF are looked up, and their
-postings are intersected by relative position: a posting at template position p under a word at file
-position q speaks for an alignment that starts at q - p. The alignments with most rare words are compared
-with the whole template, and a label is given only if the template's mandatory key phrases stand inside
-the aligned words. The base phrases are found beside, as consecutive words.
+Templates, whole licences and the notices that name them, are indexed by word: for each word its inverse
+document frequency over the templates and its postings (template, position), kept for the words of highest
+IDF of each template. A file's licence words are looked up, those of the highest IDF first, and the postings
+found are intersected by relative position: a posting at template position p under a word at file position
+q speaks for an alignment that starts at q - p. Only alignments for which at least half of a template's rare
+words speak are compared with the whole template, and a label is given only if its mandatory key phrases
+stand inside the aligned words. What a file costs depends on the postings of its own words, not on how many
+templates there are. The base phrases are found beside, as consecutive words.
 
 Defined results: null and empty texts have no words and no labels; texts of any length are scanned whole;
 matches that overlap all count; equal scores give all their labels; repeated rows give repeated results;
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import LOWER_AZ, ship, small_batches, text_or_empty
+from tessera.llm.common import LOWER_AZ, drop_memos, ship, small_batches, text_or_empty
+from tessera.llm.license_texts import TEMPLATES
 
 #: The phrases of the contract.
 BASE = {
@@ -30,28 +33,6 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Well-known notices of public licences, each with its label and mandatory key phrases.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "licensed under the mit license", ["mit license"]),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2"]),
-    ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3"]),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2"]),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by 4"]),
-    ("cc0", "this work is dedicated to the public domain under the cc0 1 0 universal public domain dedication", ["cc0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
-]
-
 #: Bytes that stand in no word become spaces; A-Z become a-z.
 TO_WORDS = bytes(
     LOWER_AZ[b] if b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -63,26 +44,24 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words; `rare` words are looked up in each file, the highest IDF first."""
+    """Postings of the templates' words of highest IDF, `rare` of each template."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, rare: int = 4, accept: float = 0.8):
-        self.rows = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in templates]
+    def __init__(self, templates=TEMPLATES, base=BASE, rare: int = 6, accept: float = 0.8):
+        self.rows = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in templates]
         self.base = [(phrase.encode().split(), label) for phrase, label in base.items()]
-        self.rare, self.accept = rare, accept
+        self.accept = accept
         seen = Counter(w for _, words, _ in self.rows for w in set(words))
         self.idf = {w: math.log(1 + len(self.rows) / n) for w, n in seen.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = []  # how many rare words must speak for an alignment
         for t, (_, words, _) in enumerate(self.rows):
+            sought = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare]
+            self.needed.append(-(-len(sought) // 2))
             for p, w in enumerate(words):
-                self.postings[w].append((t, p))
-        # the words by which a file's alignments with a template are sought, and one that any match must have
-        self.sought = [sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare] for _, words, _ in self.rows]
-        self.anchors = {w for words in self.sought for w in words} | {words[-2] for words, _ in self.base}
-        self.keys = sorted({min(keys[0], key=lambda w: (seen[w], w)) for _, _, keys in self.rows} | {words[1] for words, _ in self.base})
-
-    def candidates(self, blob: bytes) -> bool:
-        """Whether some word on which a label depends stands in the file at all."""
-        return any(k in blob for k in self.keys)
+                if w in sought:
+                    self.postings[w].append((t, p))
+        self.anchors = frozenset(self.postings) | {phrase[1] for phrase, _ in self.base}
+        self.wanted = frozenset(self.idf) | {w for phrase, _ in self.base for w in phrase}
 
     def phrase_starts(self, where: dict[bytes, list[int]], words: list[bytes], phrase: list[bytes]) -> list[int]:
         n = len(phrase)
@@ -91,10 +70,10 @@ class Index:
     def scan(self, blob: bytes) -> tuple[int, list[int], set[str], set[str], float]:
         """Words, starts of base phrases, base labels, all labels, best score."""
         words = blob.split()
-        if not self.candidates(blob):
+        met = self.anchors.intersection(words)
+        if not met:
             return len(words), [], set(), set(), 0.0
-        wanted = set(self.postings) | {p[0] for p, _ in self.base}
-        where: dict[bytes, list[int]] = defaultdict(list)
+        wanted, where = self.wanted, defaultdict(list)
         for q, w in enumerate(words):
             if w in wanted:
                 where[w].append(q)
@@ -104,37 +83,32 @@ class Index:
                 starts += found
                 base.add(label)
                 score = 1.0
-        labels = set(base)
-        for t, (label, template, keys) in enumerate(self.rows):
-            if label in labels or not all(k in where for key in keys for k in key):
-                continue
-            best = self.align(t, template, keys, where, words)
-            if best >= self.accept:
-                labels.add(label)
-                score = max(score, best)
+        labels, votes = set(base), defaultdict(set)
+        for w in sorted(met & self.postings.keys(), key=lambda w: (-self.idf[w], w)):
+            for t, p in self.postings[w]:
+                for q in where[w]:
+                    votes[t, q - p].add(w)
+        for (t, start), speakers in votes.items():
+            # a word put in or left out moves what follows to a neighbouring alignment
+            if len(set().union(*[votes.get((t, start + d), ()) for d in (-1, 1)], speakers)) >= self.needed[t]:
+                share = self.align(t, start, where, words)
+                if share >= self.accept:
+                    labels.add(self.rows[t][0])
+                    score = max(score, share)
         return len(words), starts, base, labels, min(1.0, score)
 
-    def align(self, t: int, template: list[bytes], keys: list[list[bytes]], where: dict, words: list[bytes]) -> float:
-        """The best share, weighted by IDF, of template words met in place by an alignment that has the
-        key phrases; a word put in or left out moves what follows to a neighbouring alignment."""
-        votes: Counter = Counter()
-        for w in self.sought[t]:
-            for template_at in (p for x, p in self.postings[w] if x == t):
-                for q in where.get(w, ()):
-                    votes[q - template_at] += 1
-        total, best, slack = sum(self.idf[w] for w in template), 0.0, 2
-        for start, count in votes.items():
-            if 2 * count < len(self.sought[t]):
-                continue
-            low, high = start - slack, start + len(template) + slack
-            near = lambda w, p: bisect_right(where.get(w, ()), start + p + slack) > bisect_left(where.get(w, ()), start + p - slack)  # noqa: B023, E731
-            share = sum(self.idf[w] for p, w in enumerate(template) if near(w, p)) / total
-            inside = all(any(low <= q <= high for q in self.phrase_starts(where, words, key)) for key in keys)
-            best = max(best, share if inside else 0.0)
-        return best
-
-
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4, accept: float = 0.8) -> DataFrame:
+    def align(self, t: int, start: int, where: dict, words: list[bytes], slack: int = 2) -> float:
+        """The share, weighted by IDF, of the template's words met in place by the alignment that starts
+        there; 0 without the key phrases."""
+        _, template, keys = self.rows[t]
+        low, high = start - slack, start + len(template) + slack
+        if not all(any(low <= q <= high for q in self.phrase_starts(where, words, key)) for key in keys):
+            return 0.0
+        near = lambda w, p: bisect_right(where.get(w, ()), start + p + slack) > bisect_left(where.get(w, ()), start + p - slack)
+        return sum(self.idf[w] for p, w in enumerate(template) if near(w, p)) / sum(self.idf[w] for w in template)
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 6, accept: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -142,6 +116,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, rare: int = 4
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_memos()
         for batch in batches:
             found = [index.scan(text.encode().translate(TO_WORDS)) for text in batch["text"]]
             first = pd.array([min(f[1], default=None) for f in found], dtype="Int64")

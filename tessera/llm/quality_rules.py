@@ -1,11 +1,13 @@
 """Quality rules with adaptive thresholds.
 
-Each rule is a number of a document: words, mean word length, symbols a word, share of repeated lines, of
-repeated words. For each language and source the rule's distribution is held in a mergeable quantile
-sketch: counts of logarithmic buckets (relative error at most `accuracy`), which are merged by adding.
-Thresholds are fences beyond the sketch's quartiles; documents are joined with the thresholds of their
-language and source and filtered. Groups of few documents take the merged sketch of their language, and if
-that is small too, of all.
+Each rule is a number of a document: mean word length, symbols a word, share of repeated lines, of repeated
+words. For each language and source the rule's distribution is held in a mergeable quantile sketch: counts
+of logarithmic buckets (relative error at most `accuracy`), which are merged by adding. A group's fence lies
+`reach` times the distance of its quartiles beyond them, both on a logarithmic scale and among values that
+are not zero, so that it follows the group where most documents have none of what a rule counts. Fences of
+groups are drawn towards those of their language, and these towards those of all, by `prior` documents'
+weight: a group of few documents mostly takes its parent's, one of many its own. Documents are joined with
+the fences of their language and source and filtered. There are no fixed cutoffs beside the contract's base.
 
 The sketch is one row for each language, source, rule and bucket, made by an aggregation with map-side
 combination, so a hot source is no single task; all documents count.
@@ -26,18 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import input_bytes, ship, small_batches, staged, text_or_empty
+from tessera.llm.common import few, ship, small_batches, staged, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 LEAST_WORDS = 50
-#: rule -> (sides of the fence that fail, least value that a high fence may have)
-RULES = {
-    "word_length": ("both", 0.0),
-    "symbol_ratio": ("high", 0.1),
-    "dup_line_ratio": ("high", 0.3),
-    "repeat_ratio": ("high", 0.2),
-}
+#: rule -> sides of the fence that fail
+RULES = {"word_length": "both", "symbol_ratio": "high", "dup_line_ratio": "high", "repeat_ratio": "high"}
+ZERO = -(1 << 40)
 
 
 def measure(text: str) -> tuple[int, int, int, int, int]:
@@ -99,47 +97,44 @@ def sketch(rows: DataFrame, accuracy: float = 0.01) -> DataFrame:
     (1 + accuracy) / (1 - accuracy); zeros have a bucket below all."""
     base = math.log((1 + accuracy) / (1 - accuracy))
     long = rows.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
-    bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / base)).otherwise(-(1 << 40)).cast("long")
+    bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / base)).otherwise(ZERO).cast("long")
     return long.groupBy("lang", "source", "rule", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str], accuracy: float = 0.01) -> DataFrame:
-    """keys, rule, total, low and high quartile of merged sketches."""
+def fences(sketches: DataFrame, keys: list[str], reach: float, least_spread: float, accuracy: float = 0.01) -> DataFrame:
+    """keys, rule, n (values that are not zero), and the logarithms low and high of merged sketches' fences."""
     base = math.log((1 + accuracy) / (1 - accuracy))
-    merged = sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-    order = W.partitionBy(*keys, "rule").orderBy("bucket")  # one row a bucket: a few hundred at most
+    merged = sketches.filter(F.col("bucket") != ZERO).groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+    order = W.partitionBy(*keys, "rule").orderBy("bucket")  # one row a bucket: a few thousand at most
     merged = merged.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(W.partitionBy(*keys, "rule"))})
-    value = F.when(F.col("bucket") == -(1 << 40), 0.0).otherwise(2 * F.exp(F.col("bucket") * base) / (1 + math.exp(base)))
+    value = F.col("bucket") * base + math.log(2 / (1 + math.exp(base)))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    return merged.groupBy(*keys, "rule").agg(F.max("total").alias("total"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    found = merged.groupBy(*keys, "rule").agg(F.max("total").alias("n"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    spread = F.greatest(F.col("q75") - F.col("q25"), F.lit(least_spread))
+    return found.select(*keys, "rule", "n", (F.col("q25") - reach * spread).alias("low"), (F.col("q75") + reach * spread).alias("high"))
 
 
-def thresholds(sketches: DataFrame, reach: float = 4.0, least_group: int = 100) -> DataFrame:
-    """One row for each language and source with a low and high fence for each rule."""
-    own = quartiles(sketches, ["lang", "source"])
-    lang = quartiles(sketches, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("total").alias("l_total"), F.col("q25").alias("l_q25"), F.col("q75").alias("l_q75"))
-    every = quartiles(sketches, []).select(F.col("rule").alias("a_rule"), F.col("q25").alias("a_q25"), F.col("q75").alias("a_q75"))
+def thresholds(sketches: DataFrame, reach: float = 3.0, prior: float = 50.0, least_spread: float = 0.1) -> DataFrame:
+    """One row for each language and source with fences for each rule; null where no document has a value."""
+    named = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
+    own = fences(sketches, ["lang", "source"], reach, least_spread)
+    lang = named(fences(sketches, ["lang"], reach, least_spread), "l")
+    every = named(fences(sketches, [], reach, least_spread), "a")
     rows = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(every, F.col("rule") == F.col("a_rule"))
-    pick = lambda q: F.when(F.col("total") >= least_group, F.col(q)).when(F.col("l_total") >= least_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    rows = rows.select("lang", "source", "rule", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    rows = rows.withColumn("width", F.greatest(F.col("q75") - F.col("q25"), 0.05 * F.col("q75")))
-    fences = []
-    for rule, (sides, least) in RULES.items():
-        of = lambda x: F.max(F.when(F.col("rule") == rule, x))  # noqa: B023, E731
-        fences.append(of(F.greatest(F.col("q75") + reach * F.col("width"), F.lit(least))).alias(f"{rule}_high"))
-        if sides == "both":
-            fences.append(of(F.col("q25") - reach * F.col("width")).alias(f"{rule}_low"))
-    return rows.groupBy("lang", "source").agg(*fences)
-
-
-def quality_verdicts(docs: DataFrame, reach: float = 4.0, least_group: int = 100) -> DataFrame:
+    drawn = lambda n, x, parent: (n * x + prior * parent) / (n + prior)
+    fence = lambda c: F.exp(drawn(F.col("n"), F.col(c), drawn(F.col("l_n"), F.col(f"l_{c}"), F.col(f"a_{c}"))))
+    rows = rows.select("lang", "source", "rule", fence("low").alias("low"), fence("high").alias("high"))
+    out = [F.max(F.when(F.col("rule") == rule, F.col(side))).alias(f"{rule}_{side}") for rule, sides in RULES.items() for side in (("low", "high") if sides == "both" else ("high",))]
+    return rows.groupBy("lang", "source").agg(*out)
+
+
+def quality_verdicts(docs: DataFrame, reach: float = 3.0, prior: float = 50.0) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and the rules that failed, for every row."""
     rows = with_rules(staged(measured(docs), "measured"))
-    fences = staged(thresholds(sketch(rows), reach, least_group).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "fences")
-    small = input_bytes(fences) <= 4 << 20  # a row a language and source; beyond that the planner shuffles
-    rows = rows.join(F.broadcast(fences) if small else fences, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
+    limits = staged(thresholds(sketch(rows), reach, prior).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "fences")
+    rows = rows.join(few(limits, 256), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    failed = [F.when((F.col(r) > F.col(f"{r}_high")) | ((F.col(r) < F.col(f"{r}_low")) if s == "both" else F.lit(False)), F.lit(r)) for r, (s, _) in RULES.items()]
+    failed = [F.when((F.col(r) > F.col(f"{r}_high")) | ((F.col(r) < F.col(f"{r}_low")) if s == "both" else F.lit(False)), F.lit(r)) for r, s in RULES.items()]
     rows = rows.withColumns({"base_failed": base_failed, "failed_rules": F.array_compact(F.array(*failed))})
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.array_join("failed_rules", ",").alias("failed_rules"))

@@ -6,8 +6,9 @@ it that a dictionary covers, its path and its neighbouring words, and judged by
 from labelled findings. All of it is DataFrame operations; the forest is Spark's own.
 
 Labelled findings can be given as a table (candidate, before, path, label). Without one they are made by
-rule, from a seeded hash: keys of known shapes as positives; placeholders, repeated characters, words run
-together, file names, counters and digests of builds as negatives.
+rule, from a seeded hash: keys of known shapes as positives, most of them after a word that tells of a
+secret; placeholders, repeated characters, words run together, file names, counters, encoded data, and, as
+hard negatives of the same shapes as keys, commits, checksums and identifiers after words that tell of these.
 
 Defined results: null and empty texts have no candidates; texts of any length are scanned whole; each place
 is a finding of its own, repeats included; a null path is the empty path; an empty table gives an empty
@@ -32,6 +33,8 @@ BEFORE = rf"(?:(?<=((?<!{NAME}){NAME}{{1,60}}[{PARTS}\\]{{0,8}}(?:\\[nrt])?|(?<!
 FINDING = rf"{START}{BEFORE}({KEY}{{8,}}+(?:={{1,2}}(?![A-Za-z0-9_+/=\-]))?)"
 #: Words that stand before secrets, and in paths of samples.
 TELLING = ["token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "credential", "bearer", "private"]
+#: Words that stand before commits, checksums and identifiers.
+HARMLESS = ["commit", "revision", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "build", "fingerprint", "integrity"]
 SAMPLES = ["test", "example", "sample", "fixture", "mock", "doc"]
 #: Common words by which dictionary coverage is counted.
 DICTIONARY = (
@@ -40,7 +43,7 @@ DICTIONARY = (
     "string index config build version release update install package module class function return public static error message request response "
     "change sample token secret password key here insert replace placeholder dummy none null todo xxxx 0000 1234 abcd"
 ).split()
-FEATURES = ["length", "digits", "uppers", "lowers", "marks", "letter_digit", "digit_letter", "case_change", "longest_lower", "hex_only", "distinct", "coverage", "telling", "assigned", "quoted", "path_sample", "before_length"]
+FEATURES = ["length", "digits", "uppers", "lowers", "marks", "letter_digit", "digit_letter", "case_change", "longest_lower", "hex_only", "distinct", "coverage", "uuid", "harmless", "telling", "assigned", "quoted", "path_sample", "before_length"]
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -64,6 +67,8 @@ def described(rows: DataFrame) -> DataFrame:
         "hex_only": c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double") / F.least(length, F.lit(40.0)),
         "coverage": 1 - left / length,
+        "uuid": c.rlike("^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$").cast("double"),
+        "harmless": any_of(HARMLESS, word),
         "telling": any_of(TELLING, word),
         "assigned": F.col("before").rlike("[=:]").cast("double"),
         "quoted": F.col("before").rlike("[\"']").cast("double"),
@@ -72,22 +77,28 @@ def described(rows: DataFrame) -> DataFrame:
     })
 
 
-def made_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> DataFrame:
-    """Labelled findings by rule: half secrets, half not."""
+def made_findings(spark: SparkSession, rows: int = 8000, seed: int = 11) -> DataFrame:
+    """Labelled findings by rule: half secrets, half not; a third of those that are not have the shape of keys."""
     salt = lambda n: F.concat_ws("-", F.lit(str(seed)), F.lit(str(n)), "id")
     hexes, base = F.sha2(salt(1), 256), F.translate(F.base64(F.unhex(F.sha2(salt(2), 256))), "+/=", "-_")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(salt(n)), F.lit(len(words))) + 1).cast("int"))
     words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(salt(3), i), F.lit(len(DICTIONARY))) + 1).cast("int"))), "")
     syllables = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(11)), lambda i: F.element_at(F.array(*map(F.lit, ["an", "er", "en", "ti", "ou", "mente", "ing", "lo", "sch", "que", "ra", "do"])), (F.pmod(F.xxhash64(salt(4), i), F.lit(12)) + 1).cast("int"))), "")
-    kind = F.pmod(F.xxhash64(salt(5)), F.lit(6))
+    kind, hard = F.pmod(F.xxhash64(salt(5)), F.lit(6)), F.pmod(F.xxhash64(salt(20)), F.lit(3)) == 0
+    shape = F.pmod(F.xxhash64(salt(21)), F.lit(5))
+    uuid = F.concat_ws("-", *[F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    alike = F.when(shape == 0, F.substring(hexes, 1, 40)).when(shape == 1, F.substring(hexes, 1, 32)).when(shape == 2, hexes).when(shape == 3, uuid).otherwise(F.base64(F.unhex(hexes)))
     secret = F.when(kind == 0, F.substring(hexes, 1, 40)).when(kind == 1, F.upper(F.substring(hexes, 1, 40))).when(kind == 2, F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(base, 1, 20), "-_", "XY")))).when(kind == 3, F.concat(F.lit("ghp_"), F.substring(F.translate(base, "-_", "ab"), 1, 36))).when(kind == 4, F.substring(hexes, 1, 32)).otherwise(F.substring(base, 1, 40))
     other = F.when(kind == 0, syllables).when(kind == 1, words).when(kind == 2, F.repeat(pick(["x", "0", "-", "=", "ab", "_"], 6), 24)).when(kind == 3, F.concat(words, F.lit("_"), F.substring(F.translate(hexes, "abcdef", "012345"), 1, 3))).when(kind == 4, F.substring(F.translate(hexes, "abcdef", "012345"), 1, 24)).otherwise(F.concat(F.lit("your_"), pick(["token", "secret", "api_key", "password"], 7), F.lit("_goes_here")))
     label = (F.col("id") % 2).cast("double")
     telling = F.concat(pick([*TELLING[:9], "TOKEN", "Secret"], 8), pick([" = \"", "=", ": ", ":\"", "='"], 9))
     plain = F.concat(pick(["the", "and", "of", "", "commit", "digest", "see", "id", "name", "file"], 10), pick([" ", " \"", ": ", ", "], 11))
     before = F.when((label == 1) & (F.pmod(F.xxhash64(salt(12)), F.lit(10)) < 8), telling).when((label == 0) & (F.pmod(F.xxhash64(salt(12)), F.lit(10)) < 3), telling).otherwise(plain)
+    of_these = F.concat(pick(HARMLESS, 22), pick([" ", ": ", "=", " = \"", ":"], 23))
+    hard = hard & (label == 0)
+    before = F.when(hard, of_these).otherwise(before)
     path = F.when((label == 0) & (F.pmod(F.xxhash64(salt(13)), F.lit(4)) == 0), pick(["tests/fixture", "docs/example", "sample"], 14)).otherwise(pick(["src/app", "config", "src0", "src7", "deploy"], 15))
-    return spark.range(rows).select(F.when(label == 1, secret).otherwise(other).alias("candidate"), before.alias("before"), path.alias("path"), label.alias("label"))
+    return spark.range(rows).select(F.when(label == 1, secret).when(hard, alike).otherwise(other).alias("candidate"), before.alias("before"), path.alias("path"), label.alias("label"))
 
 
 def train_forest(labelled: DataFrame, trees: int = 25, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
@@ -103,9 +114,14 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     return rows.select("doc_id", "nth", F.col("found")["candidate"].alias("candidate"), F.col("found")["before"].alias("before"), F.coalesce("path", F.lit("")).alias("path"))
 
 
+def judged(rows: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
+    """Rows of candidate, before, path with their score."""
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(rows))
+    return forest.transform(rows).withColumn("score", vector_to_array(F.col("probability"))[1])
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, accept: float = 0.5, path: Column | None = None) -> DataFrame:
     """doc_id, nth, length, candidate_sha256, score, secret for every candidate."""
     forest = train_forest(made_findings(docs.sparkSession) if labelled is None else labelled)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(candidates(docs, path)))
-    score = vector_to_array(F.col("probability"))[1]
-    return forest.transform(rows).select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), score.alias("score"), (score >= accept).alias("secret"))
+    rows = judged(candidates(docs, path), forest)
+    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", (F.col("score") >= accept).alias("secret"))

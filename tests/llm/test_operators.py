@@ -115,6 +115,18 @@ def removed(df, length, keep_first, **sizes):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in rows}
 
 
+def test_fences_follow_their_source(spark):
+    """A source whose documents have symbols throughout keeps them; elsewhere they are odd; a small source leans on its language."""
+    marked = lambda n, k: " ".join(w + "#" * (i % k == 0) for i, w in enumerate(prose(n).split()))
+    rows = [(i, marked(120, 40 + i % 30), "en", "plain") for i in range(300)] + [(1000 + i, marked(120, 2 + i % 2), "en", "marked") for i in range(300)]
+    rows += [(2000, marked(120, 1), "en", "plain"), (2001, marked(120, 2), "en", "marked"), (2002, marked(120, 50), "en", "small"), (2003, prose(120), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    limits = {r.source: r for r in quality_rules.thresholds(quality_rules.sketch(quality_rules.with_rules(quality_rules.measured(docs)))).collect()}
+    assert limits["marked"].symbol_ratio_high > 3 * limits["plain"].symbol_ratio_high and limits[None].symbol_ratio_high is None
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_verdicts(docs).collect()}
+    assert not kept[2000] and kept[2001] and kept[2002] and kept[2003] and sum(kept.values()) >= 600
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_repeats_against_brute_force(spark, empty, keep_first):
     rng, length = random.Random(3), 40
@@ -311,6 +323,25 @@ def test_license_base(table, empty):
     assert scan("Licensed under the Apache License, Version 2.0 (the \"License\")")[3] == {"apache-2"}
 
 
+def test_licenses_by_whole_texts():
+    """Each template in prose gets its label; half of it, or its words in another order, don't; what a file costs
+    does not depend on the number of templates."""
+    from tessera.llm.license_texts import TEMPLATES
+
+    index = license_scan.Index()
+    read = lambda text: index.scan(text.encode().translate(license_scan.TO_WORDS))
+    for label, text, _ in TEMPLATES:
+        assert label in read(f"{prose(50)} Copyright 2020 {text} {prose(30)}")[3]
+        words = text.split()
+        if len(words) > 60:
+            assert label in read(" ".join([*words[:20], "oneword", *words[20:]]))[3]
+            RNG.shuffle(words)
+            assert label not in read(" ".join(words))[3]
+    assert read(prose(400))[3:] == (set(), 0.0)
+    many = license_scan.Index([*TEMPLATES, *[(f"x{i}", " ".join(f"q{i}w{k}" for k in range(80)), [f"q{i}w1"]) for i in range(500)]])
+    assert many.scan(("a " + " ".join(f"q7w{k}" for k in range(80))).encode())[3] == {"x7"}
+
+
 def test_languages(spark, table, empty):
     words = {"en": "the and thing with there of".split(), "de": "und der sch nicht zwischen ung".split()}
     rng = random.Random(1)
@@ -370,6 +401,18 @@ def test_secrets(table, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_held_out(spark):
+    """Findings made from another seed; commits, checksums and identifiers after words that tell of them."""
+    forest = secret_scan.train_forest(secret_scan.made_findings(spark))
+    got = secret_scan.judged(secret_scan.made_findings(spark, 2000, seed=77), forest).select("label", "score").collect()
+    true = sum(r.label == 1 and r.score >= 0.5 for r in got)
+    assert true / sum(r.score >= 0.5 for r in got) > 0.93 and true / sum(r.label for r in got) > 0.93
+    sha = hashlib.sha1(b"x").hexdigest()
+    texts = [f"see commit {sha} of", f"md5: {hashlib.md5(b'y').hexdigest()}", f"checksum={hashlib.sha256(b'z').hexdigest()}", "uuid 123e4567-e89b-12d3-a456-426614174000", f'api_key = "{sha}"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("src"))
+    assert {r.doc_id for r in secret_scan.scan_secrets(rows).collect() if r.secret} == {4}
+
+
 def test_long_secrets_are_taken_whole(spark):
     runs = [hashlib.sha512(b"a").hexdigest() * 4 + end for end in ("b" * 60, "c" * 3000)]
     rows = spark.createDataFrame([(i, f'key = "{x}" end', "a") for i, x in enumerate(runs)], "doc_id bigint, text string, source string")
