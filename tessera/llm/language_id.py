@@ -85,14 +85,15 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights (the last row: bias) and temperature; every fifth row is kept for the temperature."""
     rng, model = np.random.default_rng(seed), FollowTheLeader(features, classes)
-    rows = [(np.append(at, features), np.append(x, 0.3), y) for at, x, y in rows]
+    biased = lambda at, x: (np.append(at.astype(np.int64), features), np.append(x.astype(np.float64), 0.3))
     train = [r for i, r in enumerate(rows) if i % 5] or rows
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
-            model.step(*train[i])
+            at, x, y = train[i]
+            model.step(*biased(at, x), y)
     weights = model.weights(slice(None))
     check = rows[::5]
-    logits, labels = np.array([x @ weights[at] for at, x, _ in check]), np.array([y for *_, y in check])
+    logits, labels = np.array([x @ weights[at] for at, x in (biased(*r[:2]) for r in check)]), np.array([y for *_, y in check])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))  # one number: the best of a fine grid
     target = np.full((len(labels), classes), 1 / (len(labels) + classes))  # smoothed: a separable sample gives no certainty
     target[np.arange(len(labels)), labels] = 1 - (classes - 1) / (len(labels) + classes)
@@ -148,11 +149,15 @@ def train(docs: DataFrame, learn: Column, features: int = FEATURES, per_class: i
     idf = np.log((1 + sums["total"]) / (1 + np.frombuffer(sums["counts"], "<i8"))) + 1
     number = {lang: i for i, lang in enumerate(languages)}
     got = found.filter("columns is not null").orderBy("key", "lang", F.xxhash64("columns", "counts")).limit(per_class * len(languages) * 2).toPandas()
-    data = []
-    for lang, columns, counts in zip(got["lang"], got["columns"], got["counts"], strict=True):
-        full = np.zeros(features, np.int64)
-        full[np.frombuffer(columns, "<i4")] = np.frombuffer(counts, "<i4")
-        data.append((*weigh(full, idf), number[lang]))
+    # the sample as three arrays, with a view for each row: rows of their own would stay with the driver's allocator
+    sizes, labels = (got["columns"].str.len() // 4).to_numpy(np.int64), [number[lang] for lang in got["lang"]]
+    at, counts = np.frombuffer(b"".join(got["columns"]), "<i4"), np.frombuffer(b"".join(got["counts"]), "<i4")
+    del got
+    x = ((1 + np.log(counts)) * idf[at]).astype(np.float32)
+    ends = np.cumsum(sizes)
+    if len(x):
+        x /= np.repeat(np.sqrt(np.maximum(1e-24, np.add.reduceat(x * x, ends - sizes))), sizes)
+    data = [(at[a:b], x[a:b], y) for a, b, y in zip((ends - sizes).tolist(), ends.tolist(), labels, strict=True)]
     if not data:
         return {"languages": []}
     weights, temperature = fit(data, features, len(languages))
