@@ -109,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         parser.error(f"{a.verb} has {ACTIONS[a.verb]}")
     spark = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        print(provenance.canonical_json(run(spark, a)).decode())
+        print(provenance.settled_text(run(spark, a)).decode())
     except (ValueError, OSError) as error:
         print(error, file=sys.stderr)
         return 2
