@@ -20,8 +20,27 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def _graph(spark: SparkSession, a: argparse.Namespace):
-    entities = terms.normalized(tables.inputs(spark, a.parquet, {s: p for s, p in (("S1", a.s1), ("S2", a.s2), ("S3", a.s3)) if p} or None))
+def _digest(entities: DataFrame) -> str:
+    return provenance.fingerprint(entities.select("entity_id", "source", "business_name", "business_address", "country"), schemas.ENTITY_VERSION).first()[0]
+
+
+def _population(spark: SparkSession, a: argparse.Namespace, entities: DataFrame) -> tuple[DataFrame, dict | None]:
+    """The entities of the part a verb works on, and what a model for it must have been fitted on. Training
+    takes the training part and no other; other verbs take the test part unless told otherwise."""
+    if not a.split:
+        if a.verb == "train" or a.model != "none":
+            raise ValueError("training, and scoring with a trained model, need a split plan")
+        return entities, None
+    role = a.role or ("train" if a.verb == "train" else "test")
+    if a.verb == "train" and role != "train":
+        raise ValueError("only the training part may be learnt from")
+    members = tables.read_split(spark, a.split)
+    origin = {"plan": provenance.file_sha256(a.split), "population": _digest(tables.select_split(entities, members, "train")), "profile": a.profile}
+    return tables.select_split(entities, members, role), origin
+
+
+def _graph(a: argparse.Namespace, entities: DataFrame):
+    entities = terms.normalized(entities)
     rows = terms.views(entities)
     weights = terms.term_weights(terms.eligible(rows), PROFILES[a.profile]).persist()
     graph = retrieve.union_lanes(retrieve.lane_hits(retrieve.products(weights), PROFILES[a.profile])).persist()
@@ -39,14 +58,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if what == "inspect profile":
         return {"profile": _rows(diagnose.profile(entities)), "families": _rows(diagnose.families(entities))}
     if what in ("inspect fingerprint", "train fingerprint"):
-        return {"fingerprint": provenance.fingerprint(entities.select("entity_id", "source", "business_name", "business_address", "country"), schemas.ENTITY_VERSION).first()[0]}
+        return {"fingerprint": _digest(entities)}
     start = time.perf_counter()
-    entities, rows, weights, graph = _graph(spark, a)
+    entities, origin = _population(spark, a, entities)
+    entities, rows, weights, graph = _graph(a, entities)
     if a.verb == "retrieve" and a.out:
         with provenance.run_folder(a.out, "retrieve", time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), {}) as out:
+            tables.write_normalized(entities, str(out / "normalized"))
             tables.write_stage(graph, str(out / "candidates"), "candidates")  # frozen before labels are read
     truth = tables.read_pairs(spark, a.truth) if a.truth else spark.createDataFrame([], "s1_id string, target_id string")
-    diagnose.check_eligible(graph, truth, entities)
+    diagnose.check_eligible(graph, truth, entities)  # truth of another part names entities that are not here
     if what == "retrieve run":
         return {"summary": _rows(diagnose.summary(graph, truth, retrieve.bounds(rows, PROFILES[a.profile]))), "warnings": _rows(retrieve.warnings(rows, PROFILES[a.profile]))}
     if what == "retrieve lane-rescue" or what == "retrieve ablate":
@@ -58,18 +79,25 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
             some = diagnose.summary(retrieve.union_lanes(retrieve.lane_hits(retrieve.products(weights), profile)), truth, retrieve.bounds(rows, profile)).selectExpr(f"'k{k}' as name", "candidate_pairs", "recall")
             points = some if points is None else points.unionByName(some)
         return {"points": _rows(diagnose.pareto(points, "candidate_pairs"))}
-    mined = evaluate.mine_pairs(graph, truth)
     if what == "train negatives":
-        return {"pairs": _rows(mined.groupBy("label").count())}
+        return {"pairs": _rows(evaluate.mine_pairs(graph, truth).groupBy("label").count())}
     queries = entities.filter("source = 'S1'").selectExpr("entity_id as s1_id")
     if a.verb == "train" or a.model != "none":
         features = pair_features.pair_features(graph, entities, weights).persist()
-        scorer = models.BoostedScorer() if a.model == "boosted" else models.LogisticScorer()
-        scores = models.check_scores(scorer.fit(features, mined).predict(features), graph).persist()
+        scorer = models.BoostedScorer(**({"trees": a.trees} if a.trees else {})) if a.model == "boosted" else models.LogisticScorer()
+        if a.verb == "train":
+            scorer.fit(features, evaluate.mine_pairs(graph, truth))
+        elif a.saved:
+            scorer.load(a.saved, spark, origin)
+        else:
+            raise ValueError("name the folder of the trained model with --saved")
+        scores = models.check_scores(scorer.predict(features), graph).persist()
     else:
         scores = decide.stub_scores(pair_features.cosines(graph, weights)).persist()
     if what == "train fit":
-        scorer.save(a.out)
+        if not a.out:
+            raise ValueError("name a folder for the model with --out")
+        scorer.save(a.out, origin)
         return {"model": scorer.fingerprint()}
     labelled = evaluate.labelled(scores, truth)
     if what in ("train calibrate", "evaluate calibration"):
@@ -99,10 +127,12 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessera")
     parser.add_argument("verb", choices=ACTIONS)
     parser.add_argument("action")
-    for name in ("parquet", "s1", "s2", "s3", "truth", "out", "query"):
+    for name in ("parquet", "s1", "s2", "s3", "truth", "out", "query", "split", "saved"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--profile", choices=PROFILES, default="strict")
     parser.add_argument("--model", choices=("none", "logistic", "boosted"), default="none")
+    parser.add_argument("--role", choices=("train", "calibration", "test"))
+    parser.add_argument("--trees", type=int)
     parser.add_argument("--budgets", default="1,5,10")
     a = parser.parse_args(argv)
     if a.action not in ACTIONS[a.verb].split():

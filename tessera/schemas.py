@@ -27,6 +27,7 @@ CANDIDATE = "s1_id string, target_id string, target_source string, country strin
 
 #: Stage tables: name -> DDL. Written and read by sources.stages.
 STAGES = {
+    "normalized": "entity_id string, source string, business_name string, business_address string, name_normal string, address_normal string, country string, normal_version string",
     "candidates": CANDIDATE,
     "scores": "s1_id string, target_id string, target_source string, score double, model_sha256 string, model_version string",
     "ownership": "s1_id string, target_id string, score double, is_owner boolean, owner_rank int, rival_s1_id string, rival_score double, rival_margin double",
@@ -38,6 +39,7 @@ STAGES = {
     "atlas": "s1_id string, target_id string, error_type string, failure_stage string, source_json string, truth_targets array<string>, accepted_targets array<string>, candidate_count int, candidate_evidence_json string",
 }
 KEYS = {
+    "normalized": ["source", "entity_id"],
     "candidates": ["s1_id", "target_id"], "scores": ["s1_id", "target_id"], "ownership": ["s1_id", "target_id"],
     "candidate_dispositions": ["s1_id", "target_id"], "resolutions": ["s1_id"], "features": ["s1_id", "target_id"],
     "failure_attribution": ["s1_id", "target_id", "error_type"], "negatives": ["s1_id", "target_id"],

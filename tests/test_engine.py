@@ -159,3 +159,48 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"cohort":"single","exact_set_accuracy":1.0' in capsys.readouterr().out
     (tmp_path / "truth.json").write_text('[["1", "nobody"]]')
     assert cli.main(["retrieve", "run", *files, "--truth", str(tmp_path / "truth.json")]) == 2
+
+
+def test_normalized_table(spark, tmp_path):
+    rows = terms.normalized(made(spark, [("1", "S1", "Ab  C", None, ""), ("2", "S2", "", "X", None)]))
+    tables.write_normalized(rows, str(tmp_path / "n"))
+    got = tables.read_normalized(spark, str(tmp_path / "n"))
+    assert {(r.entity_id, r.name_normal, r.address_normal) for r in got.collect()} == {(r.entity_id, r.name_normal, r.address_normal) for r in rows.collect()}
+    tables.write_stage(got.replace("tessera.normal.v1", "tessera.normal.v0", "normal_version"), str(tmp_path / "old"), "normalized")
+    with pytest.raises(ContractError):
+        tables.read_normalized(spark, str(tmp_path / "old"))
+
+
+def test_training_is_kept_apart(spark, tmp_path, capsys):
+    """A model is fitted on the training part alone, saved, and refused where another part is asked for."""
+    import json
+
+    from tessera import cli
+    from tessera.operators import models
+
+    places = [("train", range(0, 12)), ("calibration", range(12, 14)), ("test", range(14, 18))]
+    for s in (1, 2):
+        lines = [f"{s}_{i}\tword{i} works {i % 3}\t{i} pine road" for i in range(18)]
+        (tmp_path / f"{s}.tsv").write_text("id\tname\taddress\n" + "\n".join(lines) + "\n")
+    groups = [{"name": role, "role": role, "members": [[f"S{s}", f"{s}_{i}"] for s in (1, 2) for i in some]} for role, some in places]
+    (tmp_path / "plan.json").write_text(json.dumps({"groups": groups}))
+    for role, some in places:
+        (tmp_path / f"{role}.json").write_text(json.dumps([[f"1_{i}", f"2_{i}"] for i in some]))
+    files = [x for s in (1, 2) for x in (f"--s{s}", str(tmp_path / f"{s}.tsv"))] + ["--profile", "loose", "--model", "logistic"]
+    plan, truth = ["--split", str(tmp_path / "plan.json")], lambda role: ["--truth", str(tmp_path / f"{role}.json")]
+    saved = ["--saved", str(tmp_path / "model")]
+    assert cli.main(["train", "fit", *files, *truth("train"), "--out", str(tmp_path / "none")]) == 2  # no plan
+    assert cli.main(["train", "fit", *files, *plan, *truth("test"), "--out", str(tmp_path / "none")]) == 2  # held-out truth
+    assert cli.main(["train", "fit", *files, *plan, *truth("train"), "--role", "test", "--out", str(tmp_path / "none")]) == 2
+    assert not (tmp_path / "none").exists()
+    assert cli.main(["train", "fit", *files, *plan, *truth("train"), "--out", str(tmp_path / "model")]) == 0
+    capsys.readouterr()
+    assert cli.main(["evaluate", "quality", *files, *plan, *truth("test"), *saved]) == 0
+    assert '"query_count":4' in capsys.readouterr().out
+    assert cli.main(["evaluate", "quality", *files, *plan, *truth("test")]) == 2  # would have to be refitted
+    (tmp_path / "other.json").write_text(json.dumps({"groups": groups, "note": "another plan"}))
+    assert cli.main(["evaluate", "quality", *files, "--split", str(tmp_path / "other.json"), *truth("test"), *saved]) == 2
+    with pytest.raises(ValueError, match="settings"):
+        models.LogisticScorer(c=2.0).load(str(tmp_path / "model"), spark)
+    with pytest.raises(ValueError, match="fitted or loaded"):
+        models.LogisticScorer().fingerprint()
