@@ -64,7 +64,7 @@ def systematic_copies(rows: DataFrame, seed: str = "mix", block_rows: int = 50_0
     """Adds `copies` to rows that have doc_id, source, size, target and expected (copies, at most a few)."""
     blocks = max(8, rows.count() // block_rows)
     rows = rows.withColumns({
-        "part": F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(blocks)),
+        "part": F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") % blocks,
         "units": F.round(F.col("expected") * UNIT).cast("long"),
     })
     # sums of (source, size, part), then of (source, size): what lies before each in the source's order

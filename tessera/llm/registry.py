@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality_rules, secret_scan, suffix_dedup
+from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, oracles, quality_rules, secret_scan, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -63,13 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": EXACT_SQL}
-
-
-EXACT_SQL = r"""
-with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
-select doc_id, min(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
-       doc_id = min(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
-from t
-"""
+oracle_sql = oracles.oracle_sql
