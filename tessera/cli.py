@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import provenance, schemas
-from tessera.operators import decide, diagnose, evaluate, models, pair_features, retrieve, terms
+from tessera.operators import decide, diagnose, evaluate, experiments, models, pair_features, research, retrieve, terms
 from tessera.sources import tables
+from tessera.staging import staged
 
 PROFILES = {"strict": terms.STRICT, "loose": terms.LOOSE}
 
@@ -52,14 +53,25 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     what = f"{a.verb} {a.action}"
     if what == "inspect schema":
         return {"entity": schemas.ENTITY.jsonValue(), "stages": schemas.STAGES, "features": pair_features.FEATURES}
-    if what == "benchmark public":
-        raise ValueError("run bench.py for the public benchmark")
     entities = tables.inputs(spark, a.parquet, {s: p for s, p in (("S1", a.s1), ("S2", a.s2), ("S3", a.s3)) if p} or None)
     if what == "inspect profile":
         return {"profile": _rows(diagnose.profile(entities)), "families": _rows(diagnose.families(entities))}
     if what in ("inspect fingerprint", "train fingerprint"):
         return {"fingerprint": _digest(entities)}
-    start = time.perf_counter()
+    if what == "benchmark public":
+        if not (a.split and a.truth):
+            raise ValueError("the experiments need a split plan and truth")
+        members, pairs = tables.read_split(spark, a.split), tables.read_pairs(spark, a.truth)
+        parts = []
+        for role in ("train", "test"):
+            some = tables.select_split(entities, members, role)
+            parts.append((some, pairs.join(some.filter("source = 'S1'").selectExpr("entity_id as s1_id"), "s1_id", "left_semi")))
+        return experiments.suite(*parts, PROFILES[a.profile], a.trees)
+    if what == "benchmark scale":
+        seen = experiments.scale(entities, PROFILES[a.profile], a.repetitions)
+        if a.out:
+            tables.write_stage(seen, a.out, "scale_observations")
+        return {"stages": _rows(research.scale_summary(seen))}
     entities, origin = _population(spark, a, entities)
     entities, rows, weights, graph = _graph(a, entities)
     if a.verb == "retrieve" and a.out:
@@ -73,12 +85,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if what == "retrieve lane-rescue" or what == "retrieve ablate":
         return {"lanes": _rows(diagnose.lane_rescue(graph, truth))}
     if what == "retrieve frontier":
-        points = None
+        points = []
         for k in map(int, a.budgets.split(",")):
-            profile = terms.Profile(f"k{k}", PROFILES[a.profile].min_df, PROFILES[a.profile].max_df, dict.fromkeys(schemas.LANES, k))
-            some = diagnose.summary(retrieve.union_lanes(retrieve.lane_hits(retrieve.products(weights), profile)), truth, retrieve.bounds(rows, profile)).selectExpr(f"'k{k}' as name", "candidate_pairs", "recall")
-            points = some if points is None else points.unionByName(some)
-        return {"points": _rows(diagnose.pareto(points, "candidate_pairs"))}
+            profile, found = experiments.budget_variant(PROFILES[a.profile], k), []
+            cost = experiments.measured(spark, lambda profile=profile, found=found: found.append(staged(retrieve.union_lanes(retrieve.lane_hits(retrieve.products(weights), profile)), "point")))
+            point = diagnose.summary(found[0], truth, retrieve.bounds(rows, profile)).first()
+            points.append({"name": profile.name, "candidate_pairs": float(point.candidate_pairs), "recall": point.recall, **cost})
+        costs = [c for c in points[0] if c not in ("name", "recall")]
+        best = spark.createDataFrame(points, "name string, recall double, " + ", ".join(f"{c} double" for c in costs))
+        for c in costs:
+            best = diagnose.pareto(best, c).withColumnRenamed("pareto", f"pareto_{c}")
+        return {"points": _rows(best)}
     if what == "train negatives":
         return {"pairs": _rows(evaluate.mine_pairs(graph, truth).groupBy("label").count())}
     queries = entities.filter("source = 'S1'").selectExpr("entity_id as s1_id")
@@ -115,7 +132,6 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         "evaluate quality": lambda: {"report": _rows(evaluate.quality_report(evaluate.set_metrics(resolved, truth)))},
         "evaluate failures": lambda: {"counts": _rows(evaluate.failure_counts(evaluate.failures(graph, owned, disposed, truth)))},
         "evaluate policy": lambda: {"policy": _rows(decide.policy_check(owned, disposed, truth))},
-        "benchmark scale": lambda: {"resolved": resolved.count(), "seconds": round(time.perf_counter() - start, 3)},
     }
     return answers[what]()
 
@@ -133,6 +149,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--model", choices=("none", "logistic", "boosted"), default="none")
     parser.add_argument("--role", choices=("train", "calibration", "test"))
     parser.add_argument("--trees", type=int)
+    parser.add_argument("--repetitions", type=int, default=3)
     parser.add_argument("--budgets", default="1,5,10")
     a = parser.parse_args(argv)
     if a.action not in ACTIONS[a.verb].split():

@@ -93,7 +93,7 @@ def labelled(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return scores.join(marked, KEYS, "left").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit")
 
 
-def failures(candidates: DataFrame, owned: DataFrame, disposed: DataFrame, truth: DataFrame, ambiguous: DataFrame | None = None) -> DataFrame:
+def failures(candidates: DataFrame, owned: DataFrame, disposed: DataFrame, truth: DataFrame, ambiguous: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Missed and wrong links, each with the earliest policy stage that explains it, tags and diagnostics."""
     accepted = disposed.filter("accepted").select(*KEYS)
     missed = truth.select(*KEYS).join(accepted, KEYS, "left_anti").withColumn("error_type", F.lit("FALSE_NEGATIVE"))
@@ -105,7 +105,7 @@ def failures(candidates: DataFrame, owned: DataFrame, disposed: DataFrame, truth
     rows = rows.join(reason, KEYS, "left") if reason is not None else rows.withColumn("ambiguity", F.lit(None).cast("string"))
     counts = truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("wanted"))
     rows = rows.join(counts, "s1_id", "left")
-    there, enough = F.col("lanes").isNotNull(), F.col("score") >= THRESHOLD
+    there, enough = F.col("lanes").isNotNull(), F.col("score") >= threshold
     stage = (
         F.when(F.col("ambiguity").isNotNull(), STAGES[4])
         .when(F.col("error_type") == "FALSE_POSITIVE", F.when(there & enough, STAGES[1]).otherwise(STAGES[3]))

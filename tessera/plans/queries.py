@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera import provenance
 from tessera.functions import fuzzy
-from tessera.operators import decide, diagnose, evaluate, models, pair_features, research, retrieve, terms
+from tessera.operators import decide, diagnose, evaluate, experiments, models, pair_features, research, retrieve, terms
 from tessera.plans.fixtures import entities, parts, run, traders, truth
-from tessera.plans.sql import FOLD, LANES, grams, sql
+from tessera.plans.sql import FOLD, LANES, MASK, grams, sql
 from tessera.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,15 +129,25 @@ def part_candidates(spark, sf):
     return retrieve.retrieve(terms.views(terms.normalized(parts(spark, sf))), terms.LOOSE)
 
 
+def _variant(spark, sf, name: str) -> DataFrame:
+    r = run(spark, sf)
+    return retrieve.union_lanes(retrieve.lane_hits(r.pairs, experiments.variant(r.profile, name)))
+
+
 @query("no_reverse_candidates", "select s1_id, target_id, target_source, count(*) as lanes from hits where lane <> 'reverse' group by all")
 def no_reverse_candidates(spark, sf):
-    r = run(spark, sf)
-    return r.hits.filter("lane <> 'reverse'").groupBy("s1_id", "target_id", "target_source").agg(F.count(F.lit(1)).alias("lanes"))
+    return _variant(spark, sf, "no_reverse").select("s1_id", "target_id", "target_source", F.bit_count("retrieval_view_mask").cast("long").alias("lanes"))
 
 
-@query("top1_candidates", "select distinct s1_id, target_id, target_source from hits where rank = 1")
+@query("top1_candidates", f"select s1_id, target_id, target_source, bit_or({MASK})::int as retrieval_view_mask from hits where rank = 1 group by all")
 def top1_candidates(spark, sf):
-    return run(spark, sf).hits.filter("rank = 1").select("s1_id", "target_id", "target_source").distinct()
+    return _variant(spark, sf, "k1").select("s1_id", "target_id", "target_source", "retrieval_view_mask")
+
+
+@query("transliterated_candidates")
+def transliterated_candidates(spark, sf):
+    r = run(spark, sf)
+    return experiments.with_latin_names(r.candidates, r.entities, r.profile).select("s1_id", "target_id", "target_source", "retrieval_view_mask", "origin")
 
 
 @query("embedding_neighbours", """with e as (select vec_id, label, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
@@ -513,10 +523,15 @@ def paired_delta(spark, sf):
     return research.paired_delta(r.metrics, evaluate.set_metrics(other, r.truth))
 
 
-@query("stage_movement", "select failure_stage as from_stage, failure_stage as to_stage, count(*) as n from failures group by all")
+@query("stage_movement", """with accepted9 as (select s1_id, target_id from owned where is_owner and score >= 0.9),
+ errors9 as (select s1_id, target_id, 'FALSE_NEGATIVE' as error_type from truth where (s1_id, target_id) not in (select (s1_id, target_id) from accepted9) union all select s1_id, target_id, 'FALSE_POSITIVE' from accepted9 where (s1_id, target_id) not in (select (s1_id, target_id) from truth)),
+ failures9 as (select e.s1_id, e.target_id, e.error_type, case when e.error_type = 'FALSE_POSITIVE' then 'SCORING' when c.s1_id is null then 'RETRIEVAL' when o.score < 0.9 then 'SCORING' when not o.is_owner then 'OWNERSHIP' else 'DECODING' end as failure_stage
+  from errors9 e left join cand c on e.s1_id = c.s1_id and e.target_id = c.target_id left join owned o on e.s1_id = o.s1_id and e.target_id = o.target_id)
+ select coalesce(a.failure_stage, 'NOT_ERROR') as from_stage, coalesce(b.failure_stage, 'NOT_ERROR') as to_stage, count(*) as n from failures a full join failures9 b on a.s1_id = b.s1_id and a.target_id = b.target_id and a.error_type = b.error_type group by all""")
 def stage_movement(spark, sf):
-    failed = _failed(run(spark, sf))
-    return research.stage_movement(failed, failed)
+    """How errors move between stages, come and go under a stricter threshold."""
+    r = run(spark, sf)
+    return research.stage_movement(r.failed, evaluate.failures(r.candidates, r.owned, decide.dispositions(r.owned, 0.9), r.truth, threshold=0.9))
 
 
 @query("scale_summary", "select queries, stage, round(quantile_cont(seconds, 0.5), 6) as median_seconds, round(max(seconds) - min(seconds), 6) as range_seconds, max(rss_mib) as max_rss_mib, round(queries / quantile_cont(seconds, 0.5), 6) as queries_per_second from (select o_orderpriority as stage, o_custkey % 5 + 1 as queries, o_totalprice / 1000 as seconds, o_totalprice as rss_mib from orders) group by queries, stage")
@@ -533,12 +548,45 @@ def rescue_union(spark, sf):
     return research.rescued(lane("name"), lane("reverse"))
 
 
+def _digest_sql(version: str, fields: dict[str, str], rows: str) -> str:
+    """The digest of `rows` as provenance.fingerprint() makes it; for texts that JSON does not escape."""
+    text = " || ',' || ".join(f"""'"{k}":"' || {fields[k]} || '"'""" for k in sorted(fields))
+    return (
+        f"with hashed as (select sha256('{{' || {text} || '}}') as h from {rows}), folded as (select ('0x' || substring(h, 1, 6))::bigint % 4096 as part, sha256(string_agg(h, chr(10) order by h)) as sha from hashed group by 1) "
+        f"select sha256('{version}' || chr(10) || string_agg(sha, chr(10) order by part)) as fingerprint from folded"
+    )
+
+
+_PAIR = {"s1_id": "s1_id", "target_id": "target_id"}
+
+
+@query("truth_fingerprint", _digest_sql("tessera.truth.v1", _PAIR, "truth"))
+def truth_fingerprint(spark, sf):
+    return provenance.fingerprint(run(spark, sf).truth, "tessera.truth.v1")
+
+
+@query("resolution_fingerprint", _digest_sql("tessera.resolution.v1", {"s1_id": "s1_id", "accepted": "array_to_string(accepted_targets, ',')", "decision_type": "decision_type"}, "resolved"))
+def resolution_fingerprint(spark, sf):
+    return provenance.fingerprint(run(spark, sf).resolved.select("s1_id", F.array_join("accepted_targets", ",").alias("accepted"), "decision_type"), "tessera.resolution.v1")
+
+
+@query("score_fingerprint", _digest_sql("tessera.score.v1", {**_PAIR, "score": "score::decimal(12, 6)::varchar"}, "scores"))
+def score_fingerprint(spark, sf):
+    return provenance.fingerprint(run(spark, sf).scores.select(*KEYS, F.col("score").cast("decimal(12,6)").cast("string").alias("score")), "tessera.score.v1")
+
+
+@query("split_fingerprint", _digest_sql("tessera.split.v1", {"source": "source", "entity_id": "entity_id", "role": "role"}, "(select *, case entity_id::bigint % 4 when 0 then 'test' when 1 then 'calibration' else 'train' end as role from ents)"))
+def split_fingerprint(spark, sf):
+    n = F.col("entity_id").cast("long") % 4
+    return provenance.fingerprint(entities(spark, sf).select("source", "entity_id", F.when(n == 0, "test").when(n == 1, "calibration").otherwise("train").alias("role")), "tessera.split.v1")
+
+
 @query("dataset_fingerprint")
 def dataset_fingerprint(spark, sf):
     return provenance.fingerprint(entities(spark, sf), "tessera.dataset.v1")
 
 
-@query("candidate_fingerprint")
+@query("candidate_fingerprint", _digest_sql("tessera.graph.v1", {**_PAIR, "target_source": "target_source", "mask": "retrieval_view_mask::varchar"}, "cand"))
 def candidate_fingerprint(spark, sf):
     return provenance.fingerprint(run(spark, sf).candidates.select(*KEYS, "target_source", F.col("retrieval_view_mask").cast("string").alias("mask")), "tessera.graph.v1")
 
@@ -573,6 +621,13 @@ def bootstrap_delta(spark, sf):
     return spark.createDataFrame([(found["mean"], found["low"], found["high"])], "mean double, low double, high double")
 
 
+@query("risk_comparison")
+def risk_comparison(spark, sf):
+    """Deltas of two risks as predictors of wrong sets; three numbers a query of an evaluation set."""
+    r = run(spark, sf)
+    return spark.createDataFrame(experiments.risk_comparison(r.evidence, r.metrics), "metric string, mean double, low double, high double")
+
+
 @query("fold_check", f"select doc_id, {FOLD.format('text')} as folded from documents")
 def fold_check(spark, sf):
     from tessera.functions.text import fold
