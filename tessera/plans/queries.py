@@ -12,7 +12,8 @@ from tessera import provenance
 from tessera.functions import fuzzy
 from tessera.operators import decide, diagnose, evaluate, experiments, models, pair_features, research, retrieve, terms
 from tessera.plans.fixtures import entities, parts, run, traders, truth
-from tessera.plans.sql import FOLD, LANES, MASK, grams, sql
+from tessera.plans.sql import FOLD, LANES, MASK, PARTS, TRADERS, grams, sql
+from tessera.schemas import ENTITY_VERSION
 from tessera.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +22,11 @@ ORACLES: dict[str, str] = {}
 KEYS = ["s1_id", "target_id"]
 
 
-def query(name: str, final: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, final: str | None = None, **over) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if final:
-            ORACLES[name] = sql(final)
+            ORACLES[name] = sql(final, **over)
         return f
 
     return keep
@@ -117,13 +118,24 @@ def trader_bounds(spark, sf):
     return retrieve.bounds(terms.views(terms.normalized(traders(spark, sf))), terms.STRICT)
 
 
-@query("retrieval_warnings")
+_WARNINGS = """with sides as (select country, count(*) filter (where source = 'S1') as q, count(*) filter (where source <> 'S1') as t from views group by country)
+ select country, case when q = 0 then 'no query' else 'no target' end as warning from sides where q = 0 or t = 0
+ union all select s.country, 'empty vocabulary: ' || v.view from sides s cross join (select unnest(['name', 'compact', 'address']) as view) v where q > 0 and t > 0 and not exists (select 1 from weights w where w.country is not distinct from s.country and w.view = v.view)"""
+
+
+@query("retrieval_warnings", _WARNINGS)
 def retrieval_warnings(spark, sf):
     r = run(spark, sf)
     return retrieve.warnings(terms.views(r.entities), r.profile)
 
 
-@query("part_candidates")
+@query("trader_warnings", _WARNINGS, entities=TRADERS)
+def trader_warnings(spark, sf):
+    """Traders have no addresses, and some nations lack a side."""
+    return retrieve.warnings(terms.views(terms.normalized(traders(spark, sf))), terms.STRICT)
+
+
+@query("part_candidates", "select * from cand", entities=PARTS, loose=True)
 def part_candidates(spark, sf):
     """Extreme ties: budgets hold and ranks are decided by identifier."""
     return retrieve.retrieve(terms.views(terms.normalized(parts(spark, sf))), terms.LOOSE)
@@ -549,8 +561,8 @@ def rescue_union(spark, sf):
 
 
 def _digest_sql(version: str, fields: dict[str, str], rows: str) -> str:
-    """The digest of `rows` as provenance.fingerprint() makes it; for texts that JSON does not escape."""
-    text = " || ',' || ".join(f"""'"{k}":"' || {fields[k]} || '"'""" for k in sorted(fields))
+    """The digest of `rows` as provenance.fingerprint() makes it."""
+    text = " || ',' || ".join(f"""'"{k}":' || coalesce(to_json({fields[k]})::varchar, 'null')""" for k in sorted(fields))
     return (
         f"with hashed as (select sha256('{{' || {text} || '}}') as h from {rows}), folded as (select ('0x' || substring(h, 1, 6))::bigint % 4096 as part, sha256(string_agg(h, chr(10) order by h)) as sha from hashed group by 1) "
         f"select sha256('{version}' || chr(10) || string_agg(sha, chr(10) order by part)) as fingerprint from folded"
@@ -581,7 +593,7 @@ def split_fingerprint(spark, sf):
     return provenance.fingerprint(entities(spark, sf).select("source", "entity_id", F.when(n == 0, "test").when(n == 1, "calibration").otherwise("train").alias("role")), "tessera.split.v1")
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", _digest_sql("tessera.dataset.v1", {c: c for c in ("entity_id", "source", "business_name", "business_address", "country")} | {"schema_version": f"'{ENTITY_VERSION}'"}, "ents"))
 def dataset_fingerprint(spark, sf):
     return provenance.fingerprint(entities(spark, sf), "tessera.dataset.v1")
 

@@ -81,19 +81,28 @@ CTES = {
 KEPT = ("tf", "weights", "pairs", "hits", "cand", "scores", "owned", "resolved", "truth", "ranked", "paired")
 
 
-def sql(final: str) -> str:
-    """`final` with the expressions that it needs."""
+PARTS = "select cast(p_partkey as varchar) as entity_id, case p_partkey % 3 when 0 then 'S1' when 1 then 'S2' else 'S3' end as source, p_name as business_name, p_type || ' ' || cast(p_size as varchar) as business_address, p_brand as country from part"
+TRADERS = "select cast(c_custkey as varchar) as entity_id, 'S1' as source, c_name as business_name, cast(null as varchar) as business_address, cast(c_nationkey as varchar) as country from customer union all select cast(s_suppkey as varchar), 'S2', s_name, null, cast(s_nationkey as varchar) from supplier"
+
+
+def sql(final: str, entities: str | None = None, loose: bool = False) -> str:
+    """`final` with the expressions that it needs; over other entities than the documents, or with no limits on
+    the documents that a term may occur in."""
     needed: list[str] = []
+    changed = {"ents": entities} if entities else {}
+    if loose:
+        changed["vocab"] = CTES["vocab"].split(" having ")[0]
+    ctes = CTES | changed
 
     def add(text: str) -> None:
-        for name in CTES:
+        for name in ctes:
             if name not in needed and re.search(rf"\b(?:from|join)\s+\(?{name}\b", text):
-                add(CTES[name])
+                add(ctes[name])
                 if name not in needed:
                     needed.append(name)
 
     add(final)
-    body = ",\n".join(f"{name} as {'materialized ' if name in KEPT else ''}({CTES[name]})" for name in needed)
+    body = ",\n".join(f"{name} as {'materialized ' if name in KEPT else ''}({ctes[name]})" for name in needed)
     if not body:
         return final
     return f"with {body},\n{final.removeprefix('with ')}" if final.startswith("with ") else f"with {body}\n{final}"

@@ -204,3 +204,50 @@ def test_training_is_kept_apart(spark, tmp_path, capsys):
         models.LogisticScorer(c=2.0).load(str(tmp_path / "model"), spark)
     with pytest.raises(ValueError, match="fitted or loaded"):
         models.LogisticScorer().fingerprint()
+
+
+def test_experiment_definitions():
+    from tessera.operators import experiments as x
+
+    assert len(x.SUITE) == 12 and len({e.name for e in x.SUITE}) == 12
+    assert {e.without for e in x.SUITE} - {None} == {"name", "address", "numeric", "retrieval", "competition", "cross_script"}
+    for wrong in ({"scorer": "other"}, {"without": "other"}, {"retrieval": "other"}, {"seed": 7}, {"scorer": "logistic", "seed": -1}):
+        with pytest.raises(ValueError, match="seed|experiment"):
+            x.Experiment("wrong", **wrong)
+    assert set(x.variant(terms.STRICT, "k1").budgets.values()) == {1} and "reverse" not in x.variant(terms.STRICT, "no_reverse").lanes
+    assert x.variant(terms.STRICT, "k1").name != terms.STRICT.name and x.variant(terms.STRICT, "reference") is terms.STRICT
+
+
+def test_latin_names_rescue(spark):
+    from tessera.operators import experiments as x
+
+    rows = made(spark, [("q", "S1", "Волга", None, "c"), ("t", "S2", "Volga", None, "c"), ("p", "S1", "Maple", None, "c"), ("u", "S3", "Maple", None, "c")])
+    entities = terms.normalized(rows)
+    graph = retrieve.retrieve(terms.views(entities), terms.LOOSE)
+    got = {(r.s1_id, r.target_id): r.origin for r in x.with_latin_names(graph, entities, terms.LOOSE).collect()}
+    assert ("q", "t") not in {(r.s1_id, r.target_id) for r in graph.collect()}
+    assert got[("q", "t")] == "transliterated_name" and got[("p", "u")] == "original"
+
+
+def test_experiment_suite(spark):
+    """Two experiments over a training and a test part: comparisons, perturbed reruns, repeat and order."""
+    from tessera.operators import experiments as x
+
+    def part(some):
+        rows = [(f"{s}_{i}", f"S{s}", f"word{i} works {i % 3}", f"{i} pine road", "c") for s in (1, 2) for i in some]
+        return made(spark, rows), spark.createDataFrame([(f"1_{i}", f"2_{i}") for i in some], "s1_id string, target_id string")
+
+    got = x.suite(part(range(10)), part(range(10, 16)), terms.LOOSE, experiments=(x.Experiment("reference", scorer="logistic"), x.Experiment("k1", scorer="logistic", retrieval="k1")))
+    assert got["row_order_equal"] and got["repeat_equal"]
+    assert set(got["robustness"]) == set(research.PERTURBATIONS) and got["robustness"]["case"]["queries"] == 6
+    assert got["robustness"]["case"]["changed"] == 0  # folding undoes it
+    assert got["experiments"]["reference"]["model"] != got["experiments"]["k1"]["model"]
+    assert set(got["comparisons"]) == {"k1"} and got["comparisons"]["k1"]["promotion"] == "DIAGNOSTIC_ONLY"
+
+
+def test_scale_observations(spark):
+    from tessera.operators import experiments as x
+
+    rows = made(spark, [("q", "S1", "Maple Works", None, "c"), ("t", "S2", "Maple Works", None, "c")])
+    seen = x.scale(rows, terms.LOOSE, repetitions=1, warm_up=0)
+    assert {(r.queries, r.stage) for r in research.scale_summary(seen).collect()} == {(1, s) for s in ("terms", "retrieval", "features", "decisions")}

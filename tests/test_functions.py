@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -38,3 +39,27 @@ def test_kernels():
 def test_script():
     assert script_of("αβ ab") == "GREEK"
     assert script_of("12") == "UNKNOWN"
+
+
+def test_kernels_against_brute_force():
+    """Longest common subsequences by the full table, and every window for the partial ratio."""
+    rng = random.Random(3)
+
+    def common(a: str, b: str) -> int:
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, c in enumerate(a):
+            for j, d in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if c == d else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    def alike(a: str, b: str) -> float:
+        return 2 * common(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab cé日") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert fuzzy.ratio(a, b) == pytest.approx(alike(a, b))
+        assert fuzzy.token_sort(a, b) == pytest.approx(alike(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+        if a and b:
+            pairs = [(a, b), (b, a)] if len(a) == len(b) else [(a, b) if len(a) < len(b) else (b, a)]
+            best = max(alike(s, t[max(0, i) : i + len(s)]) for s, t in pairs for i in range(1 - len(s), len(t)))
+            assert fuzzy.partial(a, b) == pytest.approx(best)
