@@ -144,7 +144,7 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def suite(train: tuple[DataFrame, DataFrame], test: tuple[DataFrame, DataFrame], profile: terms.Profile, trees: int | None = None, experiments: tuple[Experiment, ...] = SUITE) -> dict:
+def suite(train: tuple[DataFrame, DataFrame], test: tuple[DataFrame, DataFrame], profile: terms.Profile, trees: int | None = None, experiments: tuple[Experiment, ...] = SUITE, perturbations: tuple[str, ...] = research.PERTURBATIONS) -> dict:
     """Runs the experiments over (entities, truth) of a training and a test part: each one's quality and model,
     its comparison with the first, the perturbed queries under the first one's frozen model, and whether a
     repeat and another order of rows give the same."""
@@ -166,7 +166,7 @@ def suite(train: tuple[DataFrame, DataFrame], test: tuple[DataFrame, DataFrame],
             by_tag = tags.join(research.paired_delta(first[2].metrics, got.metrics), "s1_id").groupBy("tag").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("delta"), 6).alias("delta"))
             out["comparisons"][e.name] = {"f05": interval(first[2].metrics, got.metrics), "cohorts": _rows(by_tag), "movement": _rows(research.stage_movement(first[2].failures, got.failures)), "promotion": "DIAGNOSTIC_ONLY"}
     e, scorer, got, part = first
-    for name in research.PERTURBATIONS:
+    for name in perturbations:
         changed = resolve(e, scorer, prepare(research.perturbed(test[0], name), test[1], profile, e.retrieval))
         moved = research.stability(got.resolved, changed.resolved)
         out["robustness"][name] = {**_rows(moved.agg(F.count(F.lit(1)).alias("queries"), F.count_if("changed").alias("changed")))[0], "quality": _rows(evaluate.quality_report(changed.metrics))}
