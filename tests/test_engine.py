@@ -1,8 +1,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import decide, diagnose, evaluate, pair_features, research, retrieve, terms
+from tessera.operators import blocks, decide, diagnose, evaluate, experiments, pair_features, research, retrieve, terms
 from tessera.schemas import ENTITY, ContractError, check_entities
 from tessera.sources import tables
 
@@ -50,6 +51,30 @@ def test_row_order_changes_nothing(spark):
     assert long.orderBy("s1_id", "target_id").select(*a[0].asDict()).collect() == a
 
 
+def test_blocks_lose_no_hit_and_hand_on_few_pairs(spark):
+    """Copies, ties, blocks of a few classes: the hits of all pairs, from a fraction of them."""
+    rows = [(f"{s}{i}", s, f"shop {i % 37} of{'' if i % 5 else chr(9)} {i % 11}", f"{i % 13} road {i % 29}", "c" if i % 3 else None) for i in range(180) for s in ("S1", "S2", "S3")]
+    rows += [(f"{s}{i}", s, "same  name", "" if i % 2 else None, "c") for i in range(200, 230) for s in ("S1", "S2")]
+    some = terms.eligible(views(made(spark, rows)))
+    for profile in (terms.LOOSE, experiments.variant(terms.LOOSE, "k1"), experiments.variant(terms.LOOSE, "no_reverse")):
+        every = retrieve.products(terms.term_weights(some, profile)).localCheckpoint()
+        few = blocks.best_pairs(some, profile, queries=30, targets=50).localCheckpoint()
+        assert few.count() == few.select("s1_id", "target_id").distinct().count() < every.count() / 2
+        a, b = ({(r.s1_id, r.target_id, r.lane, r.rank): r.similarity for r in retrieve.lane_hits(pairs, profile).collect()} for pairs in (every, few))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-6 for k in a)
+    assert retrieve.lane_pairs(some, terms.LOOSE).count() < retrieve.products(terms.term_weights(some, terms.LOOSE)).count() / 2
+
+
+def test_blocks_find_the_terms_of_the_analyzers(spark):
+    texts = ["", "a", "ab  cd\t\te", " lead and trail ", "\u00a0x\u2003yz", "\U0001f600\U0001f601 \U0001f602b", "no. 12-b", "ab\n\ncd\x0b e"]
+    for view in terms.VIEWS:
+        col = F.replace(F.col("t"), F.lit(" "), F.lit("")) if view == "compact" else F.col("t")
+        want = {r.i: sorted(r.found) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", terms.analyzed(view, col).alias("found")).collect()}
+        known = sorted({x for found in want.values() for x in found})
+        text, term = blocks.occurrences(view, texts, known)
+        assert {i: sorted(known[x] for x in term[text == i]) for i in range(len(texts))} == want
+
+
 def test_scores_halfway_are_rounded_as_in_sql(spark):
     """The mean of these four is 0.4452845 but for its last bits; DuckDB gives 0.445285."""
     names = ["exact_name_cosine", "exact_compact_name_cosine", "exact_address_cosine", "exact_combined_cosine"]
