@@ -498,3 +498,11 @@ def test_the_last_plans_shuffles_go_when_released(spark):
     release(found)
     time.sleep(1)
     assert held() <= before
+
+
+def test_marks_know_all_that_are_wanted_and_few_others(spark):
+    """No wanted identifier is lost; the driver holds bits of them, not keys."""
+    ids = spark.range(50_000).select(F.col("id").cast("string").alias("wanted"))
+    known = jaccard_join.marked(ids.filter("id % 10 = 3"), 5_000)
+    found = {int(r.wanted) for r in ids.filter(known(F.xxhash64("wanted"))).collect()}
+    assert set(range(3, 50_000, 10)) <= found and len(found) < 9_000
