@@ -506,3 +506,10 @@ def test_marks_know_all_that_are_wanted_and_few_others(spark):
     known = jaccard_join.marked(ids.filter("id % 10 = 3"), 5_000)
     found = {int(r.wanted) for r in ids.filter(known(F.xxhash64("wanted"))).collect()}
     assert set(range(3, 50_000, 10)) <= found and len(found) < 9_000
+
+
+def test_rows_that_go_are_named_not_those_that_stay(spark):
+    docs = spark.createDataFrame([(i, prose(40) if i % 50 else "one and the same text of some words") for i in range(200)], "doc_id bigint, text string")
+    out = jaccard_join.keep_one_each(docs)
+    assert "stay_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id for r in out.collect()} == {i for i in range(200) if i % 50 or not i}
