@@ -63,3 +63,24 @@ def test_kernels_against_brute_force():
             pairs = [(a, b), (b, a)] if len(a) == len(b) else [(a, b) if len(a) < len(b) else (b, a)]
             best = max(alike(s, t[max(0, i) : i + len(s)]) for s, t in pairs for i in range(1 - len(s), len(t)))
             assert fuzzy.partial(a, b) == pytest.approx(best)
+
+
+def test_partial_leaves_out_windows_that_cannot_be_better(monkeypatch):
+    """The best of all windows, by few ratios."""
+    import random
+
+    from tessera.functions import fuzzy
+
+    rng, seen, ratio = random.Random(3), [], fuzzy.ratio
+
+    def every(a: str, b: str) -> float:
+        slide = lambda s, t: max(ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+        return max(slide(a, b), slide(b, a)) if len(a) == len(b) else slide(*sorted((a, b), key=len))
+
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: seen.append(1) or ratio(a, b))
+    texts = ["".join(rng.choice("abcdefghi ") for _ in range(rng.choice([1, 5, 12, 40, 40]))) for _ in range(300)]
+    windows = 0
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert fuzzy.partial(a, b) == every(a, b)
+        windows += (len(a) + len(b) - 1) * (1 + (len(a) == len(b)))
+    assert 2 * len(seen) < windows
