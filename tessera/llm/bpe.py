@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, small_batches, text_or_empty, worker_memo
+from tessera.llm.common import give_back, ship, small_batches, text_or_empty, worker_memo
 
 #: The public byte-level pre-tokenization pattern (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -220,6 +220,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text + carried
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         encoder = Encoder(tables.value, worker_memo("bpe_words", MEMO), worker_memo("bpe_runs", MEMO))
         for batch in batches:
             encoder.words, encoder.runs = worker_memo("bpe_words", MEMO), worker_memo("bpe_runs", MEMO)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_crc, ship, small_batches, staged, text_or_empty
+from tessera.llm.common import give_back, id_crc, ship, small_batches, staged, text_or_empty
 
 FEATURES = 1 << 13
 PER_CLASS = 1200
@@ -209,9 +209,11 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        labels, scores = judge(texts, model)
-        return pd.Series([label != UNKNOWN and score >= least for label, score in zip(labels, scores, strict=True)])
+    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            labels, scores = judge(texts, model)
+            yield pd.Series([label != UNKNOWN and score >= least for label, score in zip(labels, scores, strict=True)])
+        give_back()
 
     return docs.filter(accepted(text_or_empty()))
 

@@ -4,6 +4,8 @@ import functools
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -513,3 +515,20 @@ def test_rows_that_go_are_named_not_those_that_stay(spark):
     out = jaccard_join.keep_one_each(docs)
     assert "stay_id" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id for r in out.collect()} == {i for i in range(200) if i % 50 or not i}
+
+
+def test_workers_give_freed_memory_back():
+    code = """
+import re
+from pathlib import Path
+from tessera.llm.common import give_back
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+rows = [bytes(700) for _ in range(200_000)]
+kept = rows[::1000]  # the end of the heap stays in use
+del rows
+before = held()
+give_back()
+print(before - held())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(done.stdout) > 50
