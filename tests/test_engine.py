@@ -1,4 +1,5 @@
 import itertools
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import blocks, decide, diagnose, evaluate, experiments, pair_features, research, retrieve, terms
 from tessera.schemas import ENTITY, ContractError, check_entities
 from tessera.sources import tables
+from tessera.staging import shared_folder
 
 
 def made(spark, rows):
@@ -282,3 +284,12 @@ def test_scale_observations(spark):
     rows = made(spark, [("q", "S1", "Maple Works", None, "c"), ("t", "S2", "Maple Works", None, "c")])
     seen = x.scale(rows, terms.LOOSE, repetitions=1, warm_up=0)
     assert {(r.queries, r.stage) for r in research.scale_summary(seen).collect()} == {(1, s) for s in ("terms", "retrieval", "features", "decisions")}
+
+
+def test_retrieval_deletes_its_tables_on_the_way(spark):
+    """Of the stages of best_pairs the pairs alone stay on disk."""
+    rows = [(f"{s}{i}", s, f"shop {i % 37} of {i % 11}", f"{i % 13} road", "c") for i in range(60) for s in ("S1", "S2")]
+    old = set(Path(shared_folder(spark).removeprefix("file://"), "tessera").glob("*"))
+    folder = lambda: {p.name.rsplit("-", 1)[0] for p in Path(shared_folder(spark).removeprefix("file://"), "tessera").glob("*") if p not in old}
+    pairs = retrieve.lane_pairs(terms.eligible(views(made(spark, rows))), terms.LOOSE)
+    assert pairs.count() and folder() == {"sizes", "pairs"}
