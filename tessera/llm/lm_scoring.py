@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +179,17 @@ def digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+def numbering() -> defaultdict:
+    """A dict that numbers words as they are looked up, from 0."""
+    ids = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
+
+
+def numbered(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+
+
 def paired(tokens: np.ndarray, at: np.ndarray, end: int, words: int) -> np.ndarray:
     """Each token with the one before it, as one number; a text's first token stands after an end."""
     before = np.empty(len(tokens), np.int64)
@@ -191,8 +203,8 @@ def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
-    def close(number: int, held: list, ids: dict) -> pd.DataFrame:
-        words = list(ids)
+    def close(number: int, held: list, ids: defaultdict) -> pd.DataFrame:
+        words, ids.default_factory = list(ids), None  # no cycle holds the words
         order = np.argsort(digests(words) % np.uint64(parts), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -202,16 +214,16 @@ def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        ids: dict[bytes, int] = {}
+        ids = numbering()
         for batch in batches:
             for doc_id, text, learnt in zip(batch["doc_id"], batch["text"], batch["learn"], strict=True):
                 words = text.encode().translate(LOWER_AZ).split()
                 words.append(END)
-                held.append((doc_id, bool(learnt), np.fromiter([ids.setdefault(w, len(ids)) for w in words], np.int64, len(words))))
+                held.append((doc_id, bool(learnt), numbered(words, ids)))
                 size += len(text)
                 if size >= CHUNK:
                     yield close(number, held, ids)
-                    number, held, size, ids = number + 1, [], 0, {}
+                    number, held, size, ids = number + 1, [], 0, numbering()
         if held:
             yield close(number, held, ids)
 
@@ -247,14 +259,16 @@ def stripped(table: DataFrame, parts: int) -> DataFrame:
 def merged(strips: pd.DataFrame) -> tuple:
     """A bucket's distinct words and pairs with their training counts, pairs by first word and digest of the
     second; then for each strip the numbers of its words and of its pairs."""
-    total: dict[bytes, int] = {}
-    lists = [x.split(b" ") for x in strips["spelling"]]
-    for names, counts in zip(lists, strips["counts"], strict=True):
-        for word, n in zip(names, unpack(counts, "<u4").tolist(), strict=True):
-            total[word] = total.get(word, 0) + n
-    words = sorted(total)
-    number = {w: i for i, w in enumerate(words)}
-    own = [np.fromiter([number[w] for w in names], np.int64, len(names)) for names in lists]
+    ids = numbering()
+    own = [numbered(x.split(b" "), ids) for x in strips["spelling"]]
+    found, ids.default_factory = list(ids), None  # no cycle holds the words
+    total = np.zeros(len(found), np.int64)
+    for at, counts in zip(own, strips["counts"], strict=True):
+        total[at] += unpack(counts, "<u4")  # a chunk's words are distinct
+    order = sorted(range(len(found)), key=found.__getitem__)
+    words, place = [found[i] for i in order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    own, total = [place[at] for at in own], total[order]
     first = np.concatenate([np.repeat(i, unpack(x, "<u4")) for i, x in zip(own, strips["degrees"], strict=True)])
     second = np.concatenate([np.frombuffer(x, "<u8") for x in strips["followers"]])
     times = np.concatenate([unpack(x, "<u4") for x in strips["pair_counts"]])
@@ -265,7 +279,7 @@ def merged(strips: pd.DataFrame) -> tuple:
     at[order] = np.cumsum(new) - 1
     count = np.bincount(at, times, int(new.sum())).astype(np.int64)
     ends = np.cumsum([len(x) // 8 for x in strips["followers"]])
-    return words, np.array([total[w] for w in words], np.int64), first[order][new], second[order][new], count, own, np.split(at, ends[:-1])
+    return words, total, first[order][new], second[order][new], count, own, np.split(at, ends[:-1])
 
 
 def dealt(digest: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -532,3 +532,9 @@ print(before - held())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
     assert float(done.stdout) > 50
+
+
+def test_words_are_numbered_as_they_come():
+    ids = lm_scoring.numbering()
+    assert lm_scoring.numbered([b"b", b"a", b"b", b"c"], ids).tolist() == [0, 1, 0, 2]
+    assert lm_scoring.numbered([b"c", b"d"], ids).tolist() == [2, 3] and list(ids) == [b"b", b"a", b"c", b"d"]
