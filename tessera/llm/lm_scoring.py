@@ -14,9 +14,11 @@ Predictive probabilities are averaged over the sweeps after the first ones.
 
 Documents are read once, into chunks: a chunk's distinct words and pairs of words, dealt by hash of the
 word, for pairs of the first word, and its documents as numbers of these words. Words and pairs meet in
-their bucket and are counted there over all training documents. A pair of one occurrence has one table; the
-others are sampled in each sweep, for which their buckets and those of the second words exchange tables and
-probabilities, words being told apart by 64-bit digests. Results go back to the chunks.
+their bucket, where they are counted over all training documents and each chunk's are numbered. A pair of one
+occurrence has one table; the others are sampled in each sweep, for which their buckets and those of the second
+words exchange tables and probabilities, words being told apart by 64-bit digests. Results go back to the chunks
+by these numbers. Buckets are counted in SLICES turns, and chunks scored in as many, so that disk holds the
+shuffles of one turn.
 What the driver gathers are sums for strings of three bytes, at most 257 ** 3 whatever the corpus.
 
 Defined results: null text is empty and has its end only; texts of any length are taken whole; with nothing
@@ -30,6 +32,7 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,10 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_AZ, buckets, discard, id_crc, release, ship, small_batches, staged, text_or_empty
+from tessera.llm.common import LOWER_AZ, buckets, discard, discarded, id_crc, release, ship, small_batches, staged, text_or_empty
 
 END = b"\n"  # the end of a text, as a word: it stands in no other
 CHUNK = 8 << 20
+SLICES = 2
 EDGE, SYMBOLS = 256, 257  # the symbol at both ends of a word
 SMALL = 32
 STRENGTH = 0.5
@@ -230,24 +234,28 @@ def chunks(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
     return rows.mapInPandas(run, f"chunk bigint, doc_ids array<{kind}>, learnt array<boolean>, n_tokens array<bigint>, tokens binary, last bigint, words binary")
 
 
-def stripped(table: DataFrame, parts: int) -> DataFrame:
+def stripped(table: DataFrame, parts: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """Strips of the chunks' words (chunk, bucket, start, spelling, counts) with the words that follow each (degrees,
-    followers, pair_counts): numbers of words, and of their pairs, run on from strip to strip. They are made
-    anew for each use: disk holds the chunks only."""
+    followers, pair_counts): numbers of words, and of their pairs, run on from strip to strip. Of `turns` turns each
+    has the buckets of its own remainder; disk holds the chunks only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 words, sizes = row.words.split(b" "), np.asarray(row.n_tokens)
                 digest, tokens, learnt = digests(words), unpack(row.tokens, "<u4").astype(np.int64), np.repeat(np.asarray(row.learnt, bool), sizes)
-                pairs, at = np.unique(paired(tokens, np.cumsum(sizes) - sizes, int(row.last), len(words)), return_inverse=True)
-                times = np.bincount(at[learnt], minlength=len(pairs)).astype("<u4")
+                bucket, both = (digest % np.uint64(parts)).astype(np.int64), paired(tokens, np.cumsum(sizes) - sizes, int(row.last), len(words))
+                mine = (bucket % turns == turn)[both // len(words)]
+                pairs, at = np.unique(both[mine], return_inverse=True)
+                times = np.bincount(at[learnt[mine]], minlength=len(pairs)).astype("<u4")
                 train = np.bincount(tokens[learnt], minlength=len(words)).astype("<u4")
-                followers, bucket = digest[pairs % len(words)], (digest % np.uint64(parts)).astype(np.int64)
+                followers = digest[pairs % len(words)]
                 degrees = np.bincount(pairs // len(words), minlength=len(words)).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(degrees, dtype=np.int64)])
                 cuts, out = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if bucket[a] % turns != turn:
+                        continue
                     own = slice(ends[a], ends[b])
                     out.append((row.chunk, int(bucket[a]), a, b" ".join(words[a:b]), pack(train[a:b]), pack(degrees[a:b]), followers[own].astype("<u8").tobytes(), pack(times[own])))
                 yield pd.DataFrame(out, columns=["chunk", "bucket", "start", "spelling", "counts", "degrees", "followers", "pair_counts"])
@@ -299,7 +307,7 @@ def letters(origin: int, distinct: np.ndarray, bucket: np.ndarray, *sums: np.nda
         yield int(bucket[a]), origin, distinct[a:b].astype("<u8").tobytes(), pack(*[x[a:b].astype("<i8") for x in sums])
 
 
-COUNTED = "kind int, bucket int, origin int, spelling binary, c binary, single binary, ctx binary, digest binary, pc binary, sums binary, tokens bigint, known bigint, ones bigint, twos bigint, tables bigint"
+COUNTED = "kind int, bucket int, origin int, spelling binary, c binary, single binary, ctx binary, digest binary, pc binary, sums binary, tokens bigint, known bigint, ones bigint, twos bigint, tables bigint, chunk bigint, start int, own binary, codes binary"
 WORDS = "bucket int, origin int, number int, spelling binary, c binary, single binary, t binary, held binary, a binary, spell binary, ones bigint, twos bigint, tables bigint"
 PAIRS = "bucket int, single binary, ctx binary, digest binary, c binary, t binary, e binary, held binary, tables bigint"
 
@@ -307,16 +315,21 @@ PAIRS = "bucket int, single binary, ctx binary, digest binary, c binary, t binar
 def counter(parts: int):
     def run(strips: pd.DataFrame) -> pd.DataFrame:
         """Kind 0: a bucket's words; 1: its pairs of two training occurrences or more; 2: to the buckets of the
-        following words, in how many pairs of one occurrence they stand and in how many at all."""
-        words, c, first, second, count, _, _ = merged(strips)
+        following words, in how many pairs of one occurrence they stand and in how many at all; 3: for each strip the
+        numbers of its words, and of its pairs 0 and 1 for as many training occurrences, else 2 and their number."""
+        words, c, first, second, count, places, pair_places = merged(strips)
         bucket, twice, once = int(strips["bucket"].iloc[0]), count > 1, count == 1
         single = np.bincount(first[once], minlength=len(words)).astype("<i8")
         none = (None,) * 15
-        out = [(0, bucket, -1, b" ".join(words), pack(c.astype("<i8")), *none[5:10], int(c.sum()), int((c > 0).sum()), 0, 0, 0)]
-        out.append((1, bucket, -1, None, None, pack(single), pack(first[twice].astype("<i4")), second[twice].astype("<u8").tobytes(), pack(count[twice].astype("<i8")), None, 0, 0, int(once.sum()), int((count == 2).sum()), int((count > 0).sum())))
+        nowhere = (-1, -1, None, None)
+        out = [(0, bucket, -1, b" ".join(words), pack(c.astype("<i8")), *none[5:10], int(c.sum()), int((c > 0).sum()), 0, 0, 0, *nowhere)]
+        out.append((1, bucket, -1, None, None, pack(single), pack(first[twice].astype("<i4")), second[twice].astype("<u8").tobytes(), pack(count[twice].astype("<i8")), None, 0, 0, int(once.sum()), int((count == 2).sum()), int((count > 0).sum()), *nowhere))
         distinct, at, goes = dealt(second[count > 0], parts)
         for to, origin, digest, sums in letters(bucket, distinct, goes, np.bincount(at, once[count > 0], len(distinct)), np.bincount(at, minlength=len(distinct))):
-            out.append((2, to, origin, *none[3:7], digest, None, sums, 0, 0, 0, 0, 0))
+            out.append((2, to, origin, *none[3:7], digest, None, sums, 0, 0, 0, 0, 0, *nowhere))
+        code = np.where(twice, np.cumsum(twice) + 1, count).astype("<u4")
+        for chunk, start, i, j in zip(strips["chunk"], strips["start"], places, pair_places, strict=True):
+            out.append((3, bucket, -1, *none[3:10], 0, 0, 0, 0, 0, int(chunk), int(start), pack(i.astype("<u4")), pack(code[j])))
         return pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(", ")])
 
     return run
@@ -341,6 +354,13 @@ def start_words(key: tuple, own: pd.DataFrame, came: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame([(row.bucket, -1, 0, row.spelling, row.c, pack(single), t.astype("<i8").tobytes(), b"", None, None, int((n == 1).sum()), int((n == 2).sum()), int(t.sum()))], columns=[x.split()[0] for x in WORDS.split(", ")])
 
 
+def done(df: DataFrame) -> None:
+    """Delete a staged table, and let Spark drop the last plan's shuffles too: its listeners hold on to that plan until
+    another one has run."""
+    df.sparkSession.range(1).count()
+    discard(df)
+
+
 def gather_strings(words: DataFrame, seed: int) -> Speller:
     """The spelling restaurants, sampled from the words' tables: sums of at most 257 ** 3 strings."""
 
@@ -419,9 +439,14 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
     parts = buckets(docs)
     table = staged(chunks(docs, learn, parts), "chunks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows of whole buckets and chunks
-    strips = stripped(table, parts)
-    counted = staged(strips.groupBy("bucket").applyInPandas(counter(parts), COUNTED), "counted")
-    release(counted)
+    counts = []
+    for turn in range(SLICES):
+        strips = stripped(table, parts, turn, SLICES)
+        counts.append(staged(strips.groupBy("bucket").applyInPandas(counter(parts), COUNTED), "counted", by="kind"))
+        del strips
+        spark.range(1).count()
+        release(table)
+    counted = reduce(DataFrame.unionByName, counts)
     sums = counted.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "known", "ones", "twos", "tables")]).first()
     tokens, known, customers, discount = sums["tokens"], sums["known"], sums["tables"], discount_of(sums["ones"], sums["twos"])
     zeros = F.udf(lambda c: pack(np.zeros(len(unpack(c, "<i8")), "<f4")), "binary")
@@ -430,7 +455,11 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
     own, came = counted.filter("kind = 0").select("bucket", "spelling", "c"), counted.filter("kind = 2").select("bucket", "digest", "sums")
     words = staged(own.groupBy("bucket").cogroup(came.groupBy("bucket")).applyInPandas(start_words, WORDS), "words")
     pairs = staged(pairs, "pairs")
-    discard(counted)
+    places = counted.filter("kind = 3").select("bucket", "chunk", "start", "own", "codes")
+    for df in counts:
+        for kind in (0, 1, 2):
+            discarded(spark, f"{df._tessera_path}/kind={kind}")
+    release(table)
     sums = words.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("ones", "twos", "tables")]).first()
     tables, d_word = sums["tables"], discount_of(sums["ones"], sums["twos"])
     levels = []  # of each sample: customers and tables of the restaurant of words
@@ -440,14 +469,14 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
         speller = spark.sparkContext.broadcast(gather_strings(own, number))
         asked = pairs.mapInPandas(ask(parts), "bucket int, origin int, digest binary, sums binary")
         words = staged(own.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(seat_words(speller, tables, d_word, number, keep), WORDS), "words")
-        discard(old)
+        done(old)
         tables = words.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("tables")).first()["tables"]
         if keep:
             levels.append((customers, tables))
         answers = words.filter("origin >= 0").select("origin", "number", "a", "spell")
         old = pairs
         pairs = staged(old.groupBy("bucket").cogroup(answers.groupBy("origin")).applyInPandas(seat_pairs(customers, tables, d_word, discount, number, parts, keep), PAIRS), "pairs")
-        discard(old)
+        done(old)
         customers = pairs.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("tables")).first()["tables"]
 
     def give(key: tuple, strip: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -456,15 +485,17 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
         if strip.empty or own.empty:
             return pd.DataFrame({x: [] for x in ("chunk", "start", "c", "p", "seated", "e")})
         row = own.iloc[0]
-        _, c, _, _, count, places, pair_places = merged(strip)
+        c = unpack(row.c, "<i8")
         held, seated = np.frombuffer(row.held_words, "<f4").astype(np.float64).reshape(samples, 2, -1), np.frombuffer(row.held_pairs, "<f4").reshape(samples, -1)
         p = np.empty((samples, len(c)), "<f4")
         for k, (n, t) in enumerate(levels):
             with np.errstate(divide="ignore"):
                 p[k] = np.logaddexp(np.log(held[k, 0]), math.log(STRENGTH + d_word * t) + held[k, 1]) - math.log(STRENGTH + n)
-        e = np.where(count == 1, 1 - discount, 0.0)
-        e[count > 1] = unpack(row.e, "<f4") / samples
-        out = [(chunk, start, pack(c[i].astype("<i8")), pack(p[:, i]), pack(seated[:, i]), pack(e[j].astype("<f4"))) for chunk, start, i, j in zip(strip["chunk"], strip["start"], places, pair_places, strict=True)]
+        e = np.concatenate([[0.0, 1 - discount], unpack(row.e, "<f4") / samples]).astype("<f4")  # by code
+        out = []
+        for chunk, start, i, j in zip(strip["chunk"], strip["start"], strip["own"], strip["codes"], strict=True):
+            i = unpack(i, "<u4")
+            out.append((chunk, start, pack(c[i]), pack(p[:, i]), pack(seated[:, i]), pack(e[unpack(j, "<u4")])))
         return pd.DataFrame(out, columns=["chunk", "start", "c", "p", "seated", "e"])
 
     def score(key: tuple, body: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -486,15 +517,24 @@ def score_texts(docs: DataFrame, learn: Column, samples: int = 2, burn: int = 1)
             out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "learnt": list(row.learnt), "n_tokens": list(row.n_tokens), "n_known": add((c > 0).astype(np.int64)[found]), "train_tokens": tokens, "base_score": add(base[found]), "score": add(logs[where])}))
         return pd.concat(out)
 
-    seats = words.filter("origin = -1").select("bucket", F.col("held").alias("held_words")).join(pairs.select("bucket", F.col("held").alias("held_pairs"), "e"), "bucket")
+    seats = words.filter("origin = -1").select("bucket", "c", F.col("held").alias("held_words")).join(pairs.select("bucket", F.col("held").alias("held_pairs"), "e"), "bucket")
     seats = staged(seats, "seats")
     discard(words)
     discard(pairs)
-    answers = staged(strips.groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(give, "chunk bigint, start int, c binary, p binary, seated binary, e binary"), "answers")
-    discard(seats)
     bodies = table.select("chunk", "doc_ids", "learnt", "n_tokens", "tokens", "last")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, f"doc_id {kind}, learnt boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    scores = []
+    for turn in range(SLICES):
+        mine = F.pmod(F.xxhash64("chunk"), F.lit(SLICES)) == turn  # not the hash that deals rows to partitions
+        answers = places.filter(mine).groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInPandas(give, "chunk bigint, start int, c binary, p binary, seated binary, e binary")
+        rows = bodies.filter(mine).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, f"doc_id {kind}, learnt boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        scores.append(staged(rows, "scores"))
+        del answers, rows
+        spark.range(1).count()
+        release(table)
+    for df in (seats, table, *counts):
+        discarded(spark, df._tessera_path)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

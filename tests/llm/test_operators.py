@@ -538,3 +538,29 @@ def test_words_are_numbered_as_they_come():
     ids = lm_scoring.numbering()
     assert lm_scoring.numbered([b"b", b"a", b"b", b"c"], ids).tolist() == [0, 1, 0, 2]
     assert lm_scoring.numbered([b"c", b"d"], ids).tolist() == [2, 3] and list(ids) == [b"b", b"a", b"c", b"d"]
+
+
+def test_strips_are_dealt_to_turns(spark):
+    """Each bucket's strips are made in one turn, as they are in a single one; so disk holds one turn's shuffle."""
+    rows = spark.createDataFrame([(i, prose(80)) for i in range(40)], "doc_id bigint, text string")
+    table = lm_scoring.chunks(rows, F.col("doc_id") % 3 != 0, 7).persist()
+    made = lambda *turn: {(r.chunk, r.bucket): tuple(r) for r in lm_scoring.stripped(table, 7, *turn).collect()}
+    turns = [made(turn, 3) for turn in range(3)]
+    assert all(bucket % 3 == turn for turn in range(3) for _, bucket in turns[turn])
+    assert turns[0] | turns[1] | turns[2] == made()
+    table.unpersist()
+
+
+def test_scores_leave_only_themselves_on_disk(spark):
+    """Neither tables between the stages nor shuffles are left once the scores are written."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffles = lambda: {p.name.split("_")[1] for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data")}
+    rows = spark.createDataFrame([(i, prose(30)) for i in range(60)], "doc_id bigint, text string")
+    lm_scoring.done(staged(rows, "before"))
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "tessera"
+    before, held = set(root.iterdir()), shuffles()
+    scores = lm_scoring.score_documents(rows)
+    time.sleep(1)
+    assert {p.name.split("-")[0] for p in set(root.iterdir()) - before} == {"scores"}
+    assert len(shuffles() - held) <= 1  # of the last plan run to let go of the others
+    assert scores.count() == 60
