@@ -555,7 +555,8 @@ def test_scores_leave_only_themselves_on_disk(spark):
     """Neither tables between the stages nor shuffles are left once the scores are written."""
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     shuffles = lambda: {p.name.split("_")[1] for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data")}
-    rows = spark.createDataFrame([(i, prose(30)) for i in range(60)], "doc_id bigint, text string")
+    few = prose(6).split()
+    rows = spark.createDataFrame([(i, " ".join(RNG.choices(few, k=9))) for i in range(60)], "doc_id bigint, text string")
     lm_scoring.done(staged(rows, "before"))
     root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "tessera"
     before, held = set(root.iterdir()), shuffles()
