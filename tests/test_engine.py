@@ -77,6 +77,14 @@ def test_blocks_find_the_terms_of_the_analyzers(spark):
         assert {i: sorted(known[x] for x in term[text == i]) for i in range(len(texts))} == want
 
 
+def test_vocabulary_is_fitted_on_all_rows(spark):
+    """More than three million rows of a country: none is left out of a count."""
+    n, term = 3_000_100, F.lit("ab")
+    rows = spark.range(n).select(F.lit("c").alias("country"), F.lit("S1").alias("source"), F.col("id").cast("string").alias("entity_id"), term.alias("name"), term.alias("compact"), term.alias("address"))
+    got = {(r.view, r.term): (r.df, r.n) for r in terms.vocabulary(rows, terms.LOOSE, keyed=True).collect()}
+    assert got == dict.fromkeys([("name", " ab"), ("name", "ab "), ("address", "ab")], (n, n))
+
+
 def test_scores_halfway_are_rounded_as_in_sql(spark):
     """The mean of these four is 0.4452845 but for its last bits; DuckDB gives 0.445285."""
     names = ["exact_name_cosine", "exact_compact_name_cosine", "exact_address_cosine", "exact_combined_cosine"]
