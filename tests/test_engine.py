@@ -4,7 +4,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.script import script_of
 from tessera.operators import blocks, decide, diagnose, evaluate, experiments, pair_features, research, retrieve, terms
+from tessera.plans import queries
+from tessera.plans.sql import sql
 from tessera.schemas import ENTITY, ContractError, check_entities
 from tessera.sources import tables
 from tessera.staging import shared_folder
@@ -190,6 +193,23 @@ def test_perturbations_and_risk(spark):
     assert [r.running_error for r in research.risk_coverage(rows).orderBy("nth").collect()] == [0, 0, 0.333333, 0.5]
 
 
+def test_cohorts_have_their_scripts(spark, tmp_path):
+    """cohort_tags names a script cohort for each query, as its SQL does, which finds scripts as script_of() does."""
+    duckdb = pytest.importorskip("duckdb")
+    names = ["ab αβγ", "αβ ab", "12", "", None, "日本 shop", "कमल", "ªﬁĳ", "Ж\U0001f600жA"]
+    values = ", ".join(f"('{i}', 'S1', {'null' if x is None else repr(x)})" for i, x in enumerate(names))
+    got = duckdb.sql(sql("select entity_id, script from scripts", entities=f"select * from (values {values}) as v(entity_id, source, business_name)")).fetchall()
+    assert dict(got) == {str(i): script_of(x or "") for i, x in enumerate(names)}
+    docs = [(i, f"{'alpha beta gamma' if i % 2 else 'αλφα βητα'} text number {i // 6} of a few words, and more words after it {i // 6}", "en", "a", 9) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    tags = sorted(tuple(r) for r in queries.QUERIES["cohort_tags"](spark, str(tmp_path)).collect())
+    assert sum(t == "same_script_or_no_truth" for _, t in tags) == 20
+    documents = f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')"
+    with duckdb.connect() as con:
+        con.execute(documents)
+        assert sorted(con.sql(queries.ORACLES["cohort_tags"]).fetchall()) == tags
+
+
 def test_command_line(spark, tmp_path, capsys):
     from tessera import cli
 
