@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pytest
@@ -84,3 +85,26 @@ def test_partial_leaves_out_windows_that_cannot_be_better(monkeypatch):
         assert fuzzy.partial(a, b) == every(a, b)
         windows += (len(a) + len(b) - 1) * (1 + (len(a) == len(b)))
     assert 2 * len(seen) < windows
+
+
+def test_kernels_of_many_pairs_equal_those_of_one():
+    """Bit by bit, for texts of every length about the limits; and in a fraction of the time."""
+    rng = random.Random(5)
+    sizes = [0, 1, 2, 3, 4, 9, 20, 39, 40, 40, 40, 41, 63, 64, 65, 100, 255, 256, 257]
+    texts = ["".join(rng.choice("ab cdé\u65e5\U0001f600 ") for _ in range(rng.choice(sizes))) for _ in range(500)]
+    texts += [t[:20] + t[21:] for t in texts[:60]] + texts[:20]
+    a, b = texts, rng.sample(texts, len(texts))
+    a, b = a + texts[:60] + texts[:9], b + texts[500:560] + texts[:9]
+    for one, many in ((fuzzy.ratio, fuzzy.ratios), (fuzzy.token_sort, fuzzy.token_sorts), (fuzzy.token_set, fuzzy.token_sets), (fuzzy.partial, fuzzy.partials), (fuzzy.jaro_winkler, fuzzy.jaro_winklers)):
+        some = [i for i in range(len(a)) if a[i] and b[i]]
+        x, y = [a[i] for i in some], [b[i] for i in some]
+        assert many(x, y).tolist() == [one(*p) for p in zip(x, y, strict=True)]
+        assert many([], []).tolist() == []
+    assert fuzzy.ratios(a, b).tolist() == [fuzzy.ratio(*p) for p in zip(a, b, strict=True)]
+    x, y = (["".join(rng.choice("abcdefghi ") for _ in range(40)) for _ in range(1000)] for _ in range(2))
+    began = time.process_time()
+    fuzzy.partials(x, y)
+    many, began = time.process_time() - began, time.process_time()
+    for p in zip(x[:100], y[:100], strict=True):
+        fuzzy.partial(*p)
+    assert many < time.process_time() - began
