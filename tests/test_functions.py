@@ -100,6 +100,8 @@ def test_kernels_of_many_pairs_equal_those_of_one():
         x, y = [a[i] for i in some], [b[i] for i in some]
         assert many(x, y).tolist() == [one(*p) for p in zip(x, y, strict=True)]
         assert many([], []).tolist() == []
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    assert fuzzy.trigram_jaccards(a, b).tolist() == [len(grams(x) & grams(y)) / max(1, len(grams(x) | grams(y))) for x, y in zip(a, b, strict=True)]
     assert fuzzy.ratios(a, b).tolist() == [fuzzy.ratio(*p) for p in zip(a, b, strict=True)]
     x, y = (["".join(rng.choice("abcdefghi ") for _ in range(40)) for _ in range(1000)] for _ in range(2))
     began = time.process_time()
