@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, components, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality_rules, secret_scan, suffix_dedup
-from tessera.llm.common import LOWER_AZ, release, staged
+from tessera.llm.common import LOWER_AZ, few, release, staged
 from tessera.llm.registry import vocabulary
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, sid bigint, copies bigint, bucket int, kept boolean, label double"
@@ -565,3 +565,15 @@ def test_scores_leave_only_themselves_on_disk(spark):
     assert {p.name.split("-")[0] for p in set(root.iterdir()) - before} == {"scores"}
     assert len(shuffles() - held) <= 1  # of the last plan run to let go of the others
     assert scores.count() == 60
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_side_beyond_its_limit_is_not_broadcast(spark, tmp_path):
+    """Compressed files can be small: the planner would broadcast what few() has refused."""
+    spark.range(20_000).write.parquet(f"{tmp_path}/side")
+    side, rows = spark.read.parquet(f"{tmp_path}/side"), spark.range(100)
+    assert "Broadcast" in plan_of(rows.join(side, "id")) and "Broadcast" in plan_of(rows.join(few(side), "id", "left"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in plan_of(rows.join(few(side, most=1 << 20), "id", how))
