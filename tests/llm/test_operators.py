@@ -577,3 +577,13 @@ def test_a_side_beyond_its_limit_is_not_broadcast(spark, tmp_path):
     assert "Broadcast" in plan_of(rows.join(side, "id")) and "Broadcast" in plan_of(rows.join(few(side), "id", "left"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert "Broadcast" not in plan_of(rows.join(few(side, most=1 << 20), "id", how))
+
+
+def test_many_rows_that_go_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id bigint, text string")
+    gone = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("gone_id"))
+    left = {i for i in range(500) if i % 7}
+    assert {r.doc_id for r in jaccard_join._without(docs, gone).collect()} == left
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    out = jaccard_join._without(docs, gone)
+    assert "Broadcast" not in plan_of(out) and sorted(r.doc_id for r in out.collect()) == sorted(left)
