@@ -579,6 +579,22 @@ def test_a_side_beyond_its_limit_is_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in plan_of(rows.join(few(side, most=1 << 20), "id", how))
 
 
+@pytest.mark.parametrize("most", [0, jaccard_join.FEW])
+def test_no_task_has_two_python_workers(spark, monkeypatch, most):
+    """Marks are told and sets are made in Python: a shuffle stands between them, or a broadcast tells the rows."""
+    seen, stage = {}, jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "FEW", most)
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name: (seen.setdefault(name, plan_of(df)), stage(df, name))[1])
+    docs = spark.createDataFrame([(i, prose(40) if i % 50 else "one and the same text of some words") for i in range(200)], "doc_id bigint, text string")
+    whole = docs.filter("doc_id % 3 = 0")
+    found = jaccard_join._full_sets(docs, whole.select(F.col("doc_id").alias("least_id"), F.col("doc_id").alias("sid")), 4)
+    assert found.count() == whole.count()
+    lines = seen["sets"].split("\n")
+    first = next(i for i, x in enumerate(lines) if "MapInPandas" in x)
+    marks = [i for i, x in enumerate(lines) if "ArrowEvalPython" in x]
+    assert bool(marks) == (not most) and all(any("Exchange hashpartitioning" in x for x in lines[first:i]) for i in marks)
+
+
 def test_many_rows_that_go_are_not_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id bigint, text string")
     gone = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("gone_id"))
